@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,8 +15,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held = quality.held_out(F.col("doc_id"), 5, 0)
+    ranking = quality.fit(docs, labels, ~held)
+    return quality.scored(docs.select("doc_id", "text"), ranking).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op6_quality": op6_quality,
 }
 
 #: The level is the greatest of those found with the sources of the smallest bounds, for their weight, held at their bounds.
