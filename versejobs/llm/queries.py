@@ -1,9 +1,12 @@
 """One query for each operator, over its whole table, and SQL where SQL can express it."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import mixing, quality, token_files
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,9 +25,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), ranking).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op6_quality": op6_quality,
+    "op7_token_files": op7_token_files,
 }
 
 #: The level is the greatest of those found with the sources of the smallest bounds, for their weight, held at their bounds.
