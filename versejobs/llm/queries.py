@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, token_files
+from . import line_dedup, mixing, quality, token_files
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,10 +29,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op6_quality": op6_quality,
     "op7_token_files": op7_token_files,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 #: The level is the greatest of those found with the sources of the smallest bounds, for their weight, held at their bounds.
@@ -50,6 +55,21 @@ lined AS (SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN
 SELECT doc_id, size, source_size, target, ((floor(i::DOUBLE * rate + shift) - floor((i - 1)::DOUBLE * rate + shift)) * size)::BIGINT AS taken FROM lined
 """
 
+OP8_SQL = """
+WITH lined AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+hashed AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lined),
+cut AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i > 1 AND (h[i - 1] * 31 + h[i]) % 3 = 0)) AS ends FROM hashed),
+spans AS (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS j FROM cut),
+placed AS (SELECT doc_id, lines, j, CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] + 1 END AS a, ends[j] AS b FROM spans),
+texts AS (SELECT doc_id, j, a, b, array_to_string(lines[a:b], chr(10)) AS chunk FROM placed WHERE b > a),
+judged AS (SELECT *, count(*) OVER (PARTITION BY chunk) AS times, min(doc_id) OVER (PARTITION BY chunk) AS owner, min(j) OVER (PARTITION BY doc_id, chunk) AS earliest FROM texts),
+gone AS (SELECT doc_id, flatten(list(range(a, b + 1))) AS lost FROM judged WHERE times > 1 AND (doc_id <> owner OR j > earliest) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lost), 0)::BIGINT AS removed_lines,
+  CASE WHEN lost IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(lost, i)), chr(10)) END AS text
+FROM lined l LEFT JOIN gone g ON l.doc_id = g.doc_id
+"""
+
 ORACLES = {
     "op2_mixing": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
