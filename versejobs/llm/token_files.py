@@ -48,8 +48,9 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(widths):
         at = np.flatnonzero(widths == w)
         if w:
-            bits = (x[at][:, :, None] >> np.arange(w, dtype=np.int64)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(at), -1), axis=1)
+            wide = 16 if w <= 16 else 32
+            bits = np.unpackbits((x[at] << (wide - w)).astype(f">u{wide // 8}").view(np.uint8), axis=1).reshape(len(at), BLOCK, wide)
+            packed = np.packbits(bits[:, :, :w].reshape(len(at), -1), axis=1)
             body[starts[at][:, None] + np.arange(packed.shape[1])] = packed
     if len(rows):
         nth = np.arange(len(rows)) - np.concatenate([[0], np.cumsum(patches)])[rows]
@@ -77,8 +78,10 @@ def unpack(payload: bytes) -> np.ndarray:
         if w:
             at = np.flatnonzero(widths == w)
             packed = body[starts[at][:, None] + np.arange(w * (BLOCK // 8))]
-            bits = np.unpackbits(packed, axis=1).reshape(len(at), BLOCK, w)
-            x[at] = bits @ (np.int64(1) << np.arange(w, dtype=np.int64))
+            wide = 16 if w <= 16 else 32
+            bits = np.zeros((len(at), BLOCK, wide), np.uint8)
+            bits[:, :, :w] = np.unpackbits(packed, axis=1).reshape(len(at), BLOCK, w)
+            x[at] = np.packbits(bits.reshape(len(at), -1), axis=1).view(f">u{wide // 8}") >> (wide - w)
     if patches.any():
         rows = np.repeat(np.arange(blocks), patches)
         nth = np.arange(len(rows)) - np.concatenate([[0], np.cumsum(patches)])[rows]
