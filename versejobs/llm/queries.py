@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, token_files, toxicity
+from . import licenses, line_dedup, mixing, quality, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, labels, ~held)).select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held = quality.held_out(F.col("doc_id"), 5, 0)
@@ -42,6 +46,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_licenses": op4_licenses,
     "op6_quality": op6_quality,
     "op7_token_files": op7_token_files,
     "op8_line_dedup": op8_line_dedup,
