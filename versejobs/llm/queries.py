@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, mixing, quality, token_files, toxicity
+from . import bpe, licenses, line_dedup, mixing, quality, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -43,6 +43,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
@@ -50,6 +54,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_token_files": op7_token_files,
     "op8_line_dedup": op8_line_dedup,
+    "op9_bpe": op9_bpe,
 }
 
 #: The level is the greatest of those found with the sources of the smallest bounds, for their weight, held at their bounds.
