@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, mixing, quality, token_files, toxicity
+from . import bpe, jaccard, licenses, line_dedup, mixing, quality, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +28,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held = quality.held_out(F.col("doc_id"), 5, 0)
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_licenses": op4_licenses,
+    "op5_jaccard": op5_jaccard,
     "op6_quality": op6_quality,
     "op7_token_files": op7_token_files,
     "op8_line_dedup": op8_line_dedup,
