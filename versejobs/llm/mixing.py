@@ -64,13 +64,14 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     Texts move once, to meet their number of copies; rows alike in doc_id, source and text are interchangeable.
     """
     kept = docs.columns
-    key = ["_id", "_src", "_hash"]
-    keyed = docs.select("*", F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.xxhash64("text").alias("_hash"))
-    plan = copies(docs.withColumn("_hash", F.xxhash64("text")), seed, ("doc_id", "source", "size", "_hash"))
-    plan = plan.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_hash").alias("_h")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
-    found = keyed.join(plan, keyed._id.eqNullSafe(plan._i) & keyed._src.eqNullSafe(plan._s) & (keyed._hash == plan._h))
+    # Null is told from text by a mark, so that one plain column says which rows are alike.
+    alike = F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("doc_id", "source")], F.xxhash64("text").cast("string")))
+    keyed = docs.withColumn("_alike", alike)
+    plan = copies(keyed, seed, ("doc_id", "source", "size", "_alike"))
+    plan = plan.groupBy(F.col("_alike").alias("_key")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    found = keyed.join(plan, F.col("_alike") == F.col("_key"))
     # Rows that are alike share their copies; the window reads them in the order that the join has left.
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    rank = F.row_number().over(Window.partitionBy("_alike").orderBy("_alike"))
     n = F.floor(F.col("_all") / F.col("_rows")) + F.when(rank <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    found = found.withColumn("_n", n)
-    return found.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*kept)
+    found = found.withColumn("_n", n).where("_n > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*kept)
