@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, licenses, line_dedup, mixing, quality, token_files, toxicity
+from . import ann, bpe, images, jaccard, licenses, line_dedup, mixing, quality, token_files, toxicity
+from .common import cut
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -56,6 +57,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images; each vector is drawn, with edited copies of every tenth, and all of these are searched."""
+    return images.groups(cut(images.mosaics(read(spark, sf_dir, "embeddings"))))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
@@ -66,6 +72,7 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
+    "op10_images": op10_images,
 }
 
 #: The level is the greatest of those found with the sources of the smallest bounds, for their weight, held at their bounds.
