@@ -34,7 +34,7 @@ TARGET, MEASURED = 0.96, 512
 #: Columns read at a time, and how far an estimate may be off: EPSILON / sqrt(columns read).
 COLUMNS, EPSILON = 16, 2.1
 #: Most vectors in a part of a list, and queries met at a time.
-PART, BATCH = 2048, 256
+PART, BATCH = 2048, 64
 K = 20
 
 
@@ -87,31 +87,40 @@ class Part:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.turned = np.ascontiguousarray((self.vectors @ turn).T)  # by columns
+        self.turned = self.vectors @ turn
         self.squares = (self.vectors**2).sum(axis=1)
 
-    def search(self, own: int, query: np.ndarray, turned: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k nearest in this part."""
-        d, square = len(query), float((query**2).sum())
-        left = np.flatnonzero(self.ids != own)
-        # The threshold is the k-th best of some vectors that are measured whole.
-        probe = left[:: max(1, len(left) // (3 * k))]
-        bar = -np.inf
-        if len(probe) >= k:
-            bar = np.partition(self.vectors[probe] @ query, len(probe) - k)[len(probe) - k]
-        partial = np.zeros(len(left))
+    def search(self, own: np.ndarray, queries: np.ndarray, turned: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of some queries, with ids and scores of the k nearest to each in this part."""
+        n, d = self.vectors.shape
+        squares = (queries**2).sum(axis=1)
+        alive = self.ids[:, None] != own
+        # A query's threshold is the k-th best of some vectors that are measured whole.
+        probe = np.arange(0, n, max(1, n // (4 * k)))
+        bar = np.full(len(queries), -np.inf)
+        if len(probe) > k:
+            some = np.where(alive[probe], self.vectors[probe] @ queries.T, -np.inf)
+            bar = np.partition(some, len(probe) - k, axis=0)[len(probe) - k]
+        partial = np.zeros((n, len(queries)))
         for start in range(0, d, COLUMNS):
-            if len(left) <= k or start + COLUMNS >= d:
-                break
-            for c in range(start, start + COLUMNS):
-                partial += (self.turned[c][left] - turned[c]) ** 2
-            seen = start + COLUMNS
-            least = partial * (d / seen) / (1 + EPSILON / np.sqrt(seen)) ** 2
-            keep = (square + self.squares[left] - least) / 2 >= bar - 1e-9
-            left, partial = left[keep], partial[keep]
-        scores = (self.vectors[left] * query).sum(axis=1)
-        best = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][best], scores[best]
+            x, q = self.turned[:, start : start + COLUMNS], turned[:, start : start + COLUMNS]
+            seen = min(d, start + COLUMNS)
+            if alive.mean() > 0.25:
+                partial += (x**2).sum(axis=1)[:, None] + (q**2).sum(axis=1) - 2 * (x @ q.T)
+            else:
+                r, c = np.nonzero(alive)
+                partial[r, c] += ((x[r] - q[c]) ** 2).sum(axis=1)
+            slack = (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < d else 1.0
+            alive &= (self.squares[:, None] + squares - partial * (d / seen / slack)) / 2 >= bar - 1e-9
+        product = np.where(alive, (self.squares[:, None] + squares - partial) / 2, -np.inf)
+        if n > k:
+            alive &= product >= np.partition(product, n - k, axis=0)[n - k] - 1e-9
+        r, c = np.nonzero(alive)
+        scores = (self.vectors[r] * queries[c]).sum(axis=1)
+        order = np.lexsort((self.ids[r], -scores, c))
+        r, c, scores = r[order], c[order], scores[order]
+        keep = np.arange(len(c)) - np.searchsorted(c, c) < k
+        return c[keep], self.ids[r[keep]], scores[keep]
 
 
 def scanned(placed: DataFrame, asked: DataFrame, d: int, k: int) -> DataFrame:
@@ -123,19 +132,25 @@ def scanned(placed: DataFrame, asked: DataFrame, d: int, k: int) -> DataFrame:
         for batch in batches:
             rows = []
             x = np.array(batch.embedding.tolist(), dtype=float).reshape(-1, d)
-            turned = x @ turn
-            for i, (at, query, vec_id) in enumerate(zip(zip(batch["list"], batch["sub"], strict=True), batch["query"], batch.vec_id, strict=True)):
+            turned, who = x @ turn, batch.vec_id.to_numpy()
+            marks = batch[["list", "sub", "query"]].to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(marks, axis=0) != 0).any(axis=1)) + 1).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                at, query = (marks[a][0], marks[a][1]), marks[a][2]
                 if at != name:
                     name, ids, vectors, part = at, [], [], None
                 if not query:
-                    ids.append(vec_id)
-                    vectors.append(x[i])
+                    ids.append(who[a:b])
+                    vectors.append(x[a:b])
                     continue
                 if part is None and ids:
-                    part = Part(np.array(ids), np.array(vectors), turn)
-                if part is not None:
-                    found, scores = part.search(vec_id, x[i], turned[i], k)
-                    rows.append((np.full(len(found), vec_id), found, scores))
+                    part = Part(np.concatenate(ids), np.concatenate(vectors), turn)
+                for i in range(a, b, BATCH) if part is not None else ():
+                    own = who[i : min(b, i + BATCH)]
+                    c, found, scores = part.search(own, x[i : i + len(own)], turned[i : i + len(own)], k)
+                    rows.append((own[c], found, scores))
             if rows:
                 yield pd.DataFrame({"query_id": np.concatenate([r[0] for r in rows]), "vec_id": np.concatenate([r[1] for r in rows]), "score": np.concatenate([r[2] for r in rows])})
 
