@@ -5,13 +5,14 @@ Sets of 64-bit shingle hashes are compared, so two documents link when 100 * int
 1. Equal sets are one class. All shingles are counted, exactly up to 32-bit hashes; a bit map of fixed size tells which
    occur more than once, a bounded list which are frequent. Rarest first, a set's prefix is as long as it takes for linked
    sets to share a shingle of it. A set with more single shingles than a linked one can have takes no further part.
-2. Sets that share prefix shingles are put with the least of them and compared with it: linked ones form groups.
-3. The matrix: each group, in parts of at most PART sets, has the union of its shingles. A set is a candidate for a group
-   part that shares a prefix shingle. The overlap of set and union bounds that with any member; only where it suffices is
-   the part opened and its members compared, up to the first link. Groups that link are one component.
+2. Sets that share prefix shingles are put with the least of them and compared with it; linked ones are connected.
+3. The matrix: sets are grouped with their leader, or with their component where that is large, and groups are cut in parts
+   of at most PART sets; each part has the union of its shingles. Parts that share a prefix shingle meet: the overlap of a
+   set with the other part's union bounds that with any member, and only where it suffices is the part opened, all members
+   being counted at once. Of the links found a part returns those that connect what wasn't yet.
 
-Members of one group are never paired with each other, so large groups of copies cost as many rows as members. Parts are
-streamed in key order; a task holds one part's members and no more.
+Parts of one component never meet, and a part returns at most one link a set and member, so large groups of copies cost few
+rows. Parts are streamed in key order; a task holds one part's members and no more.
 
 Defined results: null texts and texts without words have 0 shingles, no links, and their own doc_id as component; a text of
 fewer than five words is one shingle; rows with a null doc_id take part and link others, but never name a component (a
@@ -34,7 +35,7 @@ N = 5
 MAP_BITS = 1 << 27
 #: A shingle is frequent from 2**LEAST_CLASS sets on, or from more, so that the list has at most FREQUENT entries.
 LEAST_CLASS, FREQUENT = 4, 2_000_000
-#: Sets in a part of a group, queries of a leader in one part of its star.
+#: Most sets in a part of a group on average, queries of a leader in one part of its star.
 PART, STAR = 64, 512
 #: Texts hashed side by side, shingles counted at a time in a task.
 SLICE, FLUSH = 200, 4_000_000
@@ -92,13 +93,6 @@ def enough(n: int) -> int:
     return (4 * n + 4) // 5
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 80 * (len(a) + len(b) - both)
-
-
 def counted(docs: DataFrame, map_bits: int, ranges: int) -> DataFrame:
     """class, shingles (packed) and bits of each range of 32-bit shingle hashes: the frequent ones by class, and the map's slice (class -1)."""
     shift = 32 - (ranges.bit_length() - 1)
@@ -214,31 +208,66 @@ def profiles(docs: DataFrame, order: Order) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>, members binary")
 
 
+class Part:
+    """Some sets, their union, and which of them are known to be connected."""
+
+    def __init__(self, keys: list, roots: list, sets: list[np.ndarray]):
+        self.keys, self.sizes = keys, np.array([len(x) for x in sets])
+        who, every = np.repeat(np.arange(len(sets)), self.sizes), np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.who = who[order]
+        self.union, starts = np.unique(every[order], return_index=True)
+        self.starts = np.append(starts, len(every))
+        self.over: dict = {}
+        self.roots = roots
+
+    def top(self, x: bytes) -> bytes:
+        while self.over.get(x, x) != x:
+            x = self.over[x]
+        return x
+
+    def links(self, key: bytes, root: bytes, s: np.ndarray) -> list[tuple]:
+        """Links of a set with members that are not connected with it yet."""
+        at = np.searchsorted(self.union, s)
+        inside = at < len(self.union)
+        at = at[inside][self.union[at[inside]] == s[inside]]
+        if len(at) < enough(len(s)):
+            return []
+        n = self.starts[at + 1] - self.starts[at]
+        places = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(self.who[places], minlength=len(self.keys))
+        found = []
+        for k in np.flatnonzero(100 * both >= 80 * (self.sizes + len(s) - both)):
+            here, there = self.top(root), self.top(self.roots[k])
+            if here != there:
+                self.over[here] = there
+                found.append((key, self.keys[k]))
+        return found
+
+
 def opened(groups: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links (a, b) of queries (part, key, members) with sets of the group part (part, key, members) of the same name, one for each at most."""
+    """Links (a, b) of queries with members of the part of the same name; both are part, key, root (what it is connected with), members."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, sets, union = None, [], None
+        name, held, part = None, [], None
         for batch in batches:
             rows = []
-            for name, query, key, members in zip(batch.part, batch["query"], batch.key, batch.members, strict=True):
-                if name != part:
-                    part, sets, union = name, [], None
+            for at, query, key, root, members in zip(zip(batch.g, batch.pure, batch["sub"], strict=True), batch["query"], batch.key, batch.root, batch.members, strict=True):
+                if at != name:
+                    name, held, part = at, [], None
                 s = np.frombuffer(members, np.uint64)
                 if not query:
-                    sets.append((key, s))
-                    continue
-                if union is None:
-                    union = sets[0][1] if len(sets) == 1 else np.unique(np.concatenate([x for _, x in sets])) if sets else s[:0]
-                at = np.searchsorted(union, s)
-                inside = at < len(union)
-                if (union[at[inside]] == s[inside]).sum() < enough(len(s)):
+                    held.append((key, root, s))
                     continue
-                rows += next(([(key, k)] for k, x in sets if k != key and linked(s, x)), [])
+                if part is None and held:
+                    part = Part(*map(list, zip(*held, strict=True)))
+                if part is not None:
+                    rows += part.links(key, root, s)
             yield pd.DataFrame(rows, columns=["a", "b"], dtype=object)
 
-    both = groups.select("part", F.lit(0).alias("query"), "key", "members").unionByName(queries.select("part", F.lit(1).alias("query"), "key", "members"))
-    return both.repartition(partitions(both.sparkSession), "part").sortWithinPartitions("part", "query", "key").mapInPandas(run, "a binary, b binary")
+    cols = ["part.*", "query", "key", "root", "members"]
+    both = groups.withColumn("query", F.lit(0)).select(*cols).unionByName(queries.withColumn("query", F.lit(1)).select(*cols))
+    return both.repartition(partitions(both.sparkSession), "g", "pure", "sub").sortWithinPartitions("g", "pure", "sub", "query", "key").mapInPandas(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -268,33 +297,48 @@ def join(docs: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
     star = cut(star)
     parts = star.groupBy("leader").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    queries = star.join(parts, "leader").withColumn("part", F.struct("leader", salt.alias("salt"))).select("part", "key").join(sets, "key")
-    heads = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.struct("leader", "salt").alias("part"), F.col("leader").alias("key")).join(sets, "key")
-    first = components(opened(heads, queries))
-
-    # Groups in parts, and the sets of other groups that share a prefix shingle with them.
-    grouped = sets.select("key", "n").join(first, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("root", "key").alias("g"))
-    counts = grouped.groupBy("g").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    grouped = cut(grouped.join(counts, "g").select("key", "n", "g", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("sub")))
-    placed = posts.select("key", "t").join(grouped, "key")
-    mixed_only = placed.groupBy("t").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo != _hi").select("t")
-    placed = cut(placed.join(mixed_only, "t"))
-    columns = placed.groupBy("t", F.col("g").alias("_g"), "sub").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
-    near = (F.col("g") > F.col("_g")) & (5 * F.col("_most") >= 4 * F.col("n")) & (4 * F.col("_least") <= 5 * F.col("n"))
-    wanted = placed.drop("sub").join(columns, "t").where(near).select("key", F.struct(F.col("_g").alias("g"), F.col("sub")).alias("part")).distinct()
-    wanted = cut(wanted)
-    asked = wanted.select("part").distinct()
-    matrix = grouped.select(F.struct("g", "sub").alias("part"), "key").join(asked, "part").join(sets, "key")
-    more = opened(matrix, wanted.join(sets, "key"))
-    owner = grouped.select(F.col("key").alias("_k"), "g")
+
+    def named(g: str, pure, sub):
+        return F.struct(F.col(g).alias("g"), F.lit(pure).alias("pure"), sub.alias("sub")).alias("part")
+
+    members = sets.select("key", "members")
+    queries = star.join(parts, "leader").select(named("leader", False, salt), "key", F.col("key").alias("root")).join(members, "key")
+    heads = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    heads = heads.select(named("leader", False, F.col("salt")), F.col("leader").alias("key"), F.col("leader").alias("root")).join(members, "key")
+    first = components(opened(heads, queries)).withColumnRenamed("root", "_root")
+
+    # Groups in parts.
+    grouped = sets.select("key", "n").join(first, F.col("key") == F.col("node"), "left").join(star, "key", "left")
+    grouped = grouped.select("key", "n", F.coalesce("_root", "key").alias("root"), F.coalesce("leader", "key").alias("leader"))
+    large = grouped.groupBy(F.col("root").alias("_big")).count().where(F.col("count") >= PART).select("_big")
+    grouped = grouped.join(large, F.col("root") == F.col("_big"), "left").withColumn("pure", F.col("_big").isNotNull())
+    grouped = grouped.withColumn("g", F.coalesce("_big", "leader"))
+    counts = grouped.groupBy("g", "pure").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    grouped = grouped.join(counts, ["g", "pure"])
+    sub = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    grouped = cut(grouped.select("key", "n", "root", F.struct("g", "pure", sub.alias("sub")).alias("part")))
+
+    # Parts that share a prefix shingle, unless both are of one component; a mixed part meets itself.
+    columns = posts.select("key", "t").join(grouped, "key").groupBy("t", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left, right = columns.select("t", F.col("part").alias("p"), F.col("lo").alias("plo"), F.col("hi").alias("phi")), columns.select("t", F.col("part").alias("q"), "lo", "hi")
+    apart = (F.col("p") < F.col("q")) & ~(F.col("p.pure") & F.col("q.pure") & (F.col("p.g") == F.col("q.g")))
+    fits = (5 * F.col("phi") >= 4 * F.col("lo")) & (5 * F.col("hi") >= 4 * F.col("plo"))
+    meet = left.join(right, "t").where(apart & fits).select("p", "q").distinct()
+    own = grouped.where("NOT part.pure").groupBy("part").count().where(F.col("count") > 1).select(F.col("part").alias("p"), F.col("part").alias("q"))
+    meet = cut(meet.unionByName(own))
+    rows = cut(grouped.select("part", "key", "root").join(members, "key"))
+    matrix = rows.join(meet.select(F.col("p").alias("part")).distinct(), "part")
+    asked = meet.join(rows.withColumnRenamed("part", "q"), "q").select(F.col("p").alias("part"), "key", "root", "members")
+    more = opened(matrix, asked)
+    owner = grouped.select(F.col("key").alias("_k"), F.col("root").alias("g"))
     edges = more.join(owner, F.col("a") == F.col("_k")).select(F.col("g").alias("a"), "b").join(owner, F.col("b") == F.col("_k")).select("a", F.col("g").alias("b"))
-    second = components(edges)
+    second = components(edges).withColumnRenamed("root", "_top")
 
     # Classes, groups and components, and the least doc_id of each.
-    root = grouped.join(second, F.col("g") == F.col("node"), "left").select(F.col("key").alias("_key"), F.coalesce("root", "g").alias("_root"))
+    root = grouped.join(second, F.col("root") == F.col("node"), "left").select(F.col("key").alias("_key"), F.coalesce("_top", "root").alias("_root"))
     classes = every.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("_low")).join(root, F.col("key") == F.col("_key"), "left")
     classes = classes.select(F.col("key").alias("_key"), F.coalesce("_root", "key").alias("_root"), "_low")
     names = classes.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    named = classes.join(names, "_root").select("_key", "component_id")
-    out = every.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, F.col("key") == F.col("_key"), "left")
+    found = classes.join(names, "_root").select("_key", "component_id")
+    out = every.select("doc_id", F.col("n").alias("n_shingles"), "key").join(found, F.col("key") == F.col("_key"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
