@@ -4,15 +4,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from .songs import best_first
 
 TOP, BARS = 200, (8, 16)
 
 
 def prompts(scored: DataFrame, top: int = TOP, bars: tuple = BARS, number=formats.short_number) -> DataFrame:
     """G1: rank, song_id, n_bars, prompt of the first songs by density."""
-    kept = scored.select("song_id", "artist", "density", *[name for _, name, _, _ in formats.AUDIO]).orderBy(*best_first("density", "song_id")).limit(top)
-    ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy(*best_first("density", "song_id"))))  # `top` rows
+    rows = scored.select("song_id", "artist", *[name for _, name, _, _ in formats.AUDIO], F.nullif(F.col("density").cast("double"), F.lit(float("nan"))).alias("_best"))
+    order = [F.col("_best").desc_nulls_last(), F.col("song_id").asc_nulls_last()]
+    kept = rows.orderBy(*order).limit(top)
+    ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # `top` rows
     each = ranked.withColumn("n_bars", F.explode(F.array(*map(F.lit, bars))))
     return each.select("rank", "song_id", "n_bars", formats.prompt_text(formats.audio(number), F.col("n_bars")).alias("prompt"))
 
