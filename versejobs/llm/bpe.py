@@ -80,7 +80,7 @@ def digests(path: str) -> tuple[str, Callable]:
 
 def full(path: str) -> tuple[str, Callable]:
     """Columns and function for encode(): the ids and the decoded text."""
-    return "ids array<int>, decoded string", lambda ids: (ids.astype(np.int32).tolist(), encoder(path).decode(ids))
+    return "token_ids array<int>, decoded string", lambda ids: (ids.astype(np.int32).tolist(), encoder(path).decode(ids))
 
 
 def table(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
