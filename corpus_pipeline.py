@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage takes what the one before it kept, and all but the last return the columns of documents.
 
 1. quality: documents that the pairwise ranking rejects go.
-2. line_dedup: repeated chunks of lines go; a document that loses all its lines goes.
+2. line_dedup: repeated chunks of lines and passages of over 50 words go; a document left without words goes.
 3. near_duplicates: of each component of linked documents the one with the smallest doc_id stays.
 4. mix: documents are taken once, several times or not at all, so that sources meet their targets.
 5. bpe: what stays is encoded and decoded.
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from versejobs.llm import bpe, jaccard, line_dedup, mixing, quality
-from versejobs.llm.common import cut
+from versejobs.llm.common import cut, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "word_bpe_49k.json"
@@ -25,7 +25,7 @@ def good_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup(docs.select(*COLUMNS)).where("removed_lines = 0 OR text != ''")
+    left = line_dedup.passages(docs.select(*COLUMNS)).where((F.col("removed_lines") == 0) | (word_count(F.col("text")) > 0))
     return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 

@@ -160,6 +160,55 @@ def test_line_dedup_moves(spark):
     assert got[2].n_lines == 42 and got[3].text == "a\nb" and got[4].text is None and got[5].text == ""
 
 
+def without_passages(rows):
+    """Lines left of each text when every run of lines with over 50 words that stands earlier is gone, by comparing all runs."""
+    lines = {i: t.split("\n") for i, t in rows}
+    seen, lost = {}, {i: set() for i in lines}
+    for i, own in sorted(lines.items()):
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                if own[a].split() and own[b].split() and len(words("\n".join(own[a : b + 1]))) > 50:
+                    if seen.setdefault("\n".join(own[a : b + 1]), (i, a)) != (i, a):
+                        lost[i] |= set(range(a, b + 1))
+    return {i: [x for k, x in enumerate(own) if k not in lost[i]] for i, own in lines.items()}
+
+
+def test_passages(spark, docs, empty):
+    rng = np.random.default_rng(6)
+    pool = [" ".join(f"p{k}-{j}" for j in range(rng.integers(8, 40))) for k in range(30)] + [" ".join(f"s{j}" for j in range(70)), ""]
+    rows = []
+    for i in range(40):
+        own = [f"only {i} {j}" for j in range(12)]
+        for _ in range(2):  # one to five neighbouring lines of the pool, anywhere
+            k, at = rng.integers(0, len(pool) - 4), rng.integers(0, len(own))
+            own[at:at] = pool[k : k + rng.integers(1, 6)]
+        rows.append((i, "\n".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = without_passages(rows)
+    got = {r.doc_id: r for r in line_dedup.passages(table).collect()}
+    old = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(table).collect()}
+    gone = {i: [x for x in t.split("\n") if x not in want[i]] for i, t in rows}
+    assert sum(map(len, gone.values())) > 60
+    assert any(x in old[i] for i in gone for x in gone[i])  # chunks alone leave some of them
+    for i, t in rows:
+        left = got[i].text.split("\n")
+        assert not [x for x in gone[i] if x in left]
+        assert got[i].removed_lines == len(t.split("\n")) - len(left) and {x for x in t.split("\n") if x.startswith("only")} <= set(left)
+    assert all(any(x in r.text.split("\n") for r in got.values()) for _, t in rows for x in t.split("\n"))
+    odd = line_dedup.passages(docs.select("doc_id", "text", "part")).collect()
+    assert len(odd) == len(texts()) and {r.n_lines for r in odd if r.doc_id == 4} == {0} and line_dedup.passages(empty).count() == 0
+
+
+def test_passages_sql(spark):
+    import duckdb
+    from versejobs.llm import queries
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    want = duckdb.sql(queries.OP8_PASSAGES_SQL.replace("FROM documents", f"FROM '{path}'")).fetchall()
+    got = line_dedup.passages(spark.read.parquet(path).select("doc_id", "text")).select("doc_id", "n_lines", "removed_lines", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(r.removed_lines for r in got)
+
+
 def test_mixing(spark, docs, empty):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 40))), "big" if i % 3 else f"s{i % 7}") for i in range(3000)]

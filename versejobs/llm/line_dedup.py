@@ -9,17 +9,26 @@ and a digest that stood for two texts would remove nothing.
 Defined results: a null text stays null with 0 lines; an empty text is one empty line; a text all of whose lines go
 becomes empty; null doc_ids rank last and count as one document; rows with equal doc_id and text get equal results and
 take nothing from each other; an empty table gives an empty result; further columns stay, n_lines and removed_lines are set.
+
+Chunks miss what lies across their boundaries. passages() takes, besides the chunks, every run of lines with over LONG words
+that stands twice, wherever it begins: of each line with words the shortest such runs that begin and that end with it. Every
+longer repeated run is made up of these, so all its lines from the first with words to the last go, but at its first place.
+These places are grouped by the SHA-256 of their text.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import WORD
+
 #: A chunk ends after a line where the rolling hash is divisible by this: the mean number of lines.
 DIVISOR = 3
 #: Lines in the rolling hash.
 ROLL = 2
 #: Fewest lines of a chunk that may be removed.
 LEAST = 2
+#: A repeated run of lines with more words than this goes whole, also a single line.
+LONG = 50
 LAST_ID = (1 << 63) - 1
 
 
@@ -71,3 +80,56 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFr
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_lost", i)), "\n")
     text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(left)
     return both.withColumn("text", text).select(*kept, "n_lines", "removed_lines")
+
+
+def runs(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """doc_id, _h, first, n and key (SHA-256 of the text) of the shortest runs of lines with over `long` words, from and up to each line."""
+    lined = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_h"), F.split("text", "\n", -1).alias("_lines"))
+    # The line of each word: of the words p to p + long the first and the last name a run.
+    lined = lined.withColumn("_of", F.flatten(F.transform("_lines", lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit(WORD))))))
+    lined = lined.withColumn("_most", F.size("_of") - 1 - long).where("_most >= 0")
+
+    def at(i):
+        return F.get("_of", i)
+
+    def shortest(p):
+        return (p == 0) | (at(p - 1) != at(p)) | (p == F.col("_most")) | (at(p + long) != at(p + long + 1))
+
+    codes = F.transform(F.filter(F.sequence(F.lit(0), F.col("_most")), shortest), lambda p: F.shiftleft(at(p).cast("long"), 32) + at(p + long))
+    lined = lined.withColumn("_codes", F.array_distinct(codes))
+
+    def named(c):
+        first = F.shiftright(c, 32).cast("int")
+        n = c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - first + 1
+        return F.struct(first.alias("first"), n.alias("n"), F.unhex(F.sha2(F.array_join(F.slice("_lines", first + 1, n), "\n"), 256)).alias("key"))
+
+    return lined.select("doc_id", "_h", F.explode(F.transform("_codes", named)).alias("_run")).select("doc_id", "_h", "_run.*")
+
+
+def repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """doc_id, _h and _spans of the runs that go, as in removals()."""
+    places = runs(docs, long)
+    ranked = F.coalesce("doc_id", F.lit(LAST_ID))
+    repeated = places.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_times"), F.min(ranked).alias("_owner")).where("_times > 1").drop("_times")
+    places = places.join(repeated, F.col("key") == F.col("_key"))
+    earliest = F.min("first").over(Window.partitionBy("doc_id", "_h", "_key"))
+    gone = places.withColumn("_at", earliest).where((F.coalesce("doc_id", F.lit(LAST_ID)) != F.col("_owner")) | (F.col("first") > F.col("_at")))
+    return gone.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("first", "n")).alias("_spans"))
+
+
+def passages(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """docs as dedup() gives them, without the repeated runs of over `long` words as well."""
+    gone = removals(docs).unionByName(repeats(docs, long)).groupBy("doc_id", "_h").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
+    gone = gone.withColumnsRenamed({"doc_id": "_gone_id", "_h": "_gone_h"})
+    kept = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    both = docs.select(*kept, F.xxhash64("text").alias("_text_h"))
+    both = both.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_h") == F.col("_gone_h")), "left")
+    lines = F.split("text", "\n", -1)
+    lost = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
+    both = both.withColumn("_lost", lost)
+    both = both.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    both = both.withColumn("removed_lines", F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lost")
+    both = both.withColumn("_split", lines).withColumn("_left", left)
+    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_split", i)), "\n"))
+    return both.withColumn("text", text).select(*kept, "n_lines", "removed_lines")

@@ -53,6 +53,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_token_files": op7_token_files,
     "op8_line_dedup": op8_line_dedup,
+    "op8_passages": op8_passages,
     "op9_bpe": op9_bpe,
     "op10_images": op10_images,
 }
@@ -104,7 +109,30 @@ SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lost),
 FROM lined l LEFT JOIN gone g ON l.doc_id = g.doc_id
 """
 
+#: The chunks of OP8_SQL, and all shortest runs of lines with 51 words or more by the number of words before each line.
+OP8_PASSAGES_SQL = """
+WITH lined AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+hashed AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lined),
+cut AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i > 1 AND (h[i - 1] * 31 + h[i]) % 3 = 0)) AS ends FROM hashed),
+spans AS (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS j FROM cut),
+chunks AS (SELECT doc_id, CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] + 1 END AS a, ends[j] AS b, lines FROM spans),
+each AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM lined),
+sized AS (SELECT doc_id, i, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM each),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM sized),
+starts AS (SELECT s.doc_id, s.i AS a, min(t.i) AS b FROM summed s JOIN summed t ON s.doc_id = t.doc_id AND t.i >= s.i AND t.upto - (s.upto - s.w) > 50 WHERE s.w > 0 GROUP BY s.doc_id, s.i),
+stops AS (SELECT t.doc_id, max(s.i) AS a, t.i AS b FROM summed s JOIN summed t ON s.doc_id = t.doc_id AND t.i >= s.i AND t.upto - (s.upto - s.w) > 50 WHERE t.w > 0 GROUP BY t.doc_id, t.i),
+runs AS (SELECT * FROM starts UNION SELECT * FROM stops),
+texts AS (SELECT 0 AS kind, doc_id, a, b, array_to_string(lines[a:b], chr(10)) AS part FROM chunks WHERE b > a
+  UNION ALL SELECT 1, doc_id, a, b, array_to_string(lines[a:b], chr(10)) FROM runs JOIN lined USING (doc_id)),
+judged AS (SELECT *, count(*) OVER (PARTITION BY kind, part) AS times, min(doc_id) OVER (PARTITION BY kind, part) AS owner, min(a) OVER (PARTITION BY kind, doc_id, part) AS earliest FROM texts),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(a, b + 1)))) AS lost FROM judged WHERE times > 1 AND (doc_id <> owner OR a > earliest) GROUP BY doc_id)
+SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lost), 0)::BIGINT AS removed_lines,
+  CASE WHEN lost IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(lost, i)), chr(10)) END AS text
+FROM lined l LEFT JOIN gone g ON l.doc_id = g.doc_id
+"""
+
 ORACLES = {
     "op2_mixing": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op8_passages": OP8_PASSAGES_SQL,
 }
