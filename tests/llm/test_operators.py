@@ -340,3 +340,27 @@ def test_images(spark):
     assert all(got[i].group_id == i for i in got if i is not None and i < 80 and i % 2 == 0)
     assert got[902].group_id == got[903].group_id == 902 and got[901].group_id == 901 and got[900].n_points == 0
     assert images.groups(media.limit(0)).count() == 0
+
+
+def textured(rng, h, w):
+    """Smooth noise with as many corners everywhere."""
+    return np.clip(128 + 90 * images.box(rng.normal(0, 1, (h, w)), 2) * 5 / 2, 0, 255)
+
+
+def test_images_of_crowded_descriptors(spark):
+    """Images put together from the same few marks, some in several copies: each pair that brute force links counts."""
+    rng = np.random.default_rng(9)
+    marks = [textured(rng, 6, 6) - 128 for _ in range(48)]
+    ramp = np.add.outer(np.arange(104) * 1.3, np.arange(104) * 0.9) * 150 / 226.6 + 50
+    rows = []
+    for i in range(20):
+        x = ramp.copy()
+        for k, m in enumerate(rng.permutation(48)[:16]):
+            r, c = k // 4 * 26 + rng.integers(3, 17), k % 4 * 26 + rng.integers(3, 17)
+            x[r : r + 6, c : c + 6] += 0.6 * marks[m]
+        rows += [(10 * i + j, images.pgm((1 - j / 20) * x + 4 * j)) for j in range(5 if i % 5 == 0 else 1)]
+    points = {i: images.described(x)[1:] for i, x in rows}
+    want = {i: sum(images.consensus(*points[i], *points[j]) >= images.AGREE for j in points if j != i) for i in points}
+    got = {r.media_id: r for r in images.groups(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    assert {i: r.n_linked for i, r in got.items()} == want == {i: 4 if i // 10 % 5 == 0 else 0 for i in got}
+    assert all(r.group_id == i // 10 * 10 for i, r in got.items())
