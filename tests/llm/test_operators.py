@@ -347,6 +347,17 @@ def textured(rng, h, w):
     return np.clip(128 + 90 * images.box(rng.normal(0, 1, (h, w)), 2) * 5 / 2, 0, 255)
 
 
+def test_images_crop_of_a_large_one(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3):
+        x = textured(rng, 640, 640)
+        top, left = rng.integers(0, 320, 2)
+        rows += [(2 * i, images.pgm(x)), (2 * i + 1, images.pgm(0.9 * x[top : top + 320, left : left + 320] + 9))]
+    got = {r.media_id: r.group_id for r in images.groups(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(6)}
+
+
 def test_images_of_crowded_descriptors(spark):
     """Images put together from the same few marks, some in several copies: each pair that brute force links counts."""
     rng = np.random.default_rng(9)
