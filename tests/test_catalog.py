@@ -51,3 +51,10 @@ def test_trainer_states(spark, tmp_path):
     (folder / "trainer_state.json").write_text('{"log_history": [\n{"step": 1, "loss": 0.5}, {"step": 2}]}')
     row = io.read_trainer_states(spark, str(tmp_path / "*" / "checkpoint-*" / "trainer_state.json")).first()
     assert row.stage == "grpo" and [(x.step, x.loss) for x in row.log_history] == [("1", "0.5"), ("2", None)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["experiment_keys_whole"])
+def test_whole_input(spark, name):
+    test_query(spark, name)
+    assert max(len(r.key) for r in catalog.QUERIES[name](spark, DATA).collect()) > 24

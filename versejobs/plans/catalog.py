@@ -316,3 +316,12 @@ SELECT doc_id, CASE WHEN coalesce(key, '') = '' THEN 'experiment' ELSE key END A
 def experiment_keys(spark, sf_dir):
     """M2, of the titles that documents begin with"""
     return views.table(spark, sf_dir, "documents").select("doc_id", formats.experiment_key(F.substring("text", 1, 24)).alias("key"))
+
+
+# Whole inputs, where the queries above keep to a part of them as their SQL does.
+
+
+@registered(ORACLES["experiment_keys"].replace("substr(text, 1, 24)", "text"))
+def experiment_keys_whole(spark, sf_dir):
+    """M2, of whole texts"""
+    return views.table(spark, sf_dir, "documents").select("doc_id", formats.experiment_key(F.col("text")).alias("key"))
