@@ -58,3 +58,11 @@ def test_trainer_states(spark, tmp_path):
 def test_whole_input(spark, name):
     test_query(spark, name)
     assert max(len(r.key) for r in catalog.QUERIES[name](spark, DATA).collect()) > 24
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["first_pronunciations_whole", "letter_codes_whole", "loanwords_whole"])
+def test_words_of_any_length(spark, name):
+    test_query(spark, name)
+    lengths = {len(r.word) for r in catalog.QUERIES[name](spark, DATA).select("word").collect()}
+    assert min(lengths) < 4 and max(lengths) > 12

@@ -325,3 +325,28 @@ def experiment_keys(spark, sf_dir):
 def experiment_keys_whole(spark, sf_dir):
     """M2, of whole texts"""
     return views.table(spark, sf_dir, "documents").select("doc_id", formats.experiment_key(F.col("text")).alias("key"))
+
+
+def every_word(name: str) -> str:
+    """The SQL of a query over the lexicon, over words of any length."""
+    return ORACLES[name].replace(" WHERE length(word) BETWEEN 4 AND 12", "")
+
+
+@registered(every_word("first_pronunciations"))
+def first_pronunciations_whole(spark, sf_dir):
+    """S7, of words of any length"""
+    words = views.words(spark, sf_dir)
+    later = words.select(F.concat(F.upper("word"), F.lit("(1)  "), F.reverse("phones")).alias("value"))
+    return io.first_pronunciations(words.select(F.concat(F.upper("word"), F.lit("  "), F.col("phones")).alias("value")).unionByName(later))
+
+
+@registered(every_word("letter_codes"))
+def letter_codes_whole(spark, sf_dir):
+    """P6, of words of any length"""
+    return views.words(spark, sf_dir).select("word", phonetics.fallback_codes(F.col("word")).alias("codes"))
+
+
+@registered(every_word("loanwords"))
+def loanwords_whole(spark, sf_dir):
+    """P2 to P5, of words of any length"""
+    return phonetics.with_syllables(views.words(spark, sf_dir)).select("word", "loanword", "codes", "simple_codes")

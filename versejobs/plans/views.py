@@ -71,3 +71,10 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEXICON_SQL = f"""words AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) BETWEEN 4 AND 12),
 lexicon AS (SELECT word, array_to_string(list_transform(string_split(word, ''), lambda c: MAP {{{", ".join(f"'{k}': '{v}'" for k, v in LETTER_PHONES.items())}}}[c]), ' ') AS phones FROM words)"""
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every English word of the documents, of any length, with its letters' pronunciation."""
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    phones = F.create_map(*[F.lit(x) for kv in LETTER_PHONES.items() for x in kv])
+    return found.withColumn("phones", F.array_join(F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.element_at(phones, c)), " "))
