@@ -66,3 +66,9 @@ def test_words_of_any_length(spark, name):
     test_query(spark, name)
     lengths = {len(r.word) for r in catalog.QUERIES[name](spark, DATA).select("word").collect()}
     assert min(lengths) < 4 and max(lengths) > 12
+
+
+def test_bench_times_the_lexicon_join():
+    import bench
+
+    assert "song_density_lexicon" in bench.HEADLINE
