@@ -15,6 +15,7 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,17 +63,20 @@ def pack(ids: np.ndarray) -> bytes:
     return b"".join(a.tobytes() for a in head) + body.tobytes()
 
 
-def unpack(payload: bytes) -> np.ndarray:
-    """The ids that were packed."""
+def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The ids that were packed, or those from place `first` up to `last`; the block index leads to the blocks that hold them."""
     n = int(np.frombuffer(payload, "<u4", 1)[0])
-    blocks = -(-n // BLOCK)
-    if not n:
+    every = -(-n // BLOCK)
+    first, last = max(0, first), n if last is None else min(n, last)
+    if first >= last:
         return np.zeros(0, np.uint32)
-    low = np.frombuffer(payload, "<u4", blocks, 4).astype(np.int64)
-    widths = np.frombuffer(payload, np.uint8, blocks, 4 + 4 * blocks).astype(np.int64)
-    patches = np.frombuffer(payload, np.uint8, blocks, 4 + 5 * blocks).astype(np.int64)
-    starts = np.frombuffer(payload, "<u4", blocks, 4 + 6 * blocks).astype(np.int64)
-    body = np.frombuffer(payload, np.uint8, -1, 4 + 10 * blocks)
+    skipped = first // BLOCK
+    blocks = -(-last // BLOCK) - skipped
+    low = np.frombuffer(payload, "<u4", blocks, 4 + 4 * skipped).astype(np.int64)
+    widths = np.frombuffer(payload, np.uint8, blocks, 4 + 4 * every + skipped).astype(np.int64)
+    patches = np.frombuffer(payload, np.uint8, blocks, 4 + 5 * every + skipped).astype(np.int64)
+    starts = np.frombuffer(payload, "<u4", blocks, 4 + 6 * every + 4 * skipped).astype(np.int64)
+    body = np.frombuffer(payload, np.uint8, -1, 4 + 10 * every)
     x = np.zeros((blocks, BLOCK), np.int64)
     for w in np.unique(widths):
         if w:
@@ -88,41 +92,38 @@ def unpack(payload: bytes) -> np.ndarray:
         base = starts[rows] + widths[rows] * (BLOCK // 8)
         values = np.ascontiguousarray(body[(base + patches[rows] + 4 * nth)[:, None] + np.arange(4)]).view("<u4").reshape(-1)
         x[rows, body[base + nth]] = values
-    return (x + low[:, None]).reshape(-1)[:n].astype(np.uint32)
+    return (x + low[:, None]).reshape(-1)[first - skipped * BLOCK : last - skipped * BLOCK].astype(np.uint32)
 
 
 def segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Segments of all documents, in order of doc_id from partition to partition and within."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        end = np.array([end_id], coder.type).tobytes()
-        doc_ids: list = []
-        held: list[bytes] = []
-        size = seq = 0
+        kinds = pa.schema([("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("payload", pa.binary())])
+        seq, doc_ids, lengths, ids = 0, [], np.zeros(0, np.int64), np.zeros(0, coder.type)
 
-        def close() -> pd.DataFrame:
-            lengths = [len(x) // coder.type.itemsize for x in held]
-            ids = np.frombuffer(b"".join(held), coder.type)
-            return pd.DataFrame({"seq": [seq], "doc_ids": [doc_ids], "lengths": [lengths], "n_ids": [len(ids)], "payload": [pack(ids)]})
+        def closed(names: list, sizes: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            row = {"seq": seq, "doc_ids": names, "lengths": sizes.tolist(), "n_ids": len(own), "payload": pack(own)}
+            return pa.RecordBatch.from_pylist([row], kinds)
 
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                some = batch.iloc[i : i + 200]
-                for doc_id, ids in zip(some.doc_id, coder.encode([x or "" for x in some.text]), strict=True):
-                    doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    held.append(ids + end)
-                    size += len(held[-1])
-                    if size >= SEGMENT * coder.type.itemsize:
-                        yield close()
-                        doc_ids, held, size, seq = [], [], 0, seq + 1
-        if held:
-            yield close()
+            new, n = coder.ids(batch.column("text"))
+            doc_ids += batch.column("doc_id").to_pylist()
+            ids, lengths = np.concatenate([ids, np.insert(new, np.cumsum(n), end_id)]), np.concatenate([lengths, n + 1])
+            ends, start, row = np.cumsum(lengths), 0, 0
+            while row < len(ends) and ends[-1] - start >= SEGMENT:
+                last = int(np.searchsorted(ends, start + SEGMENT)) + 1
+                yield closed(doc_ids[row:last], lengths[row:last], ids[start : ends[last - 1]])
+                start, row, seq = int(ends[last - 1]), last, seq + 1
+            doc_ids, lengths, ids = doc_ids[row:], lengths[row:], ids[start:]
+        if len(lengths):
+            yield closed(doc_ids, lengths, ids)
 
     keys = [F.col("doc_id").asc_nulls_last(), F.col("_hash")]
     lined = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
     lined = lined.repartitionByRange(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
-    return lined.select("doc_id", "text").mapInPandas(build, SEGMENTS).withColumn("part", F.spark_partition_id())
+    return lined.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, SEGMENTS).withColumn("part", F.spark_partition_id())
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> None:
@@ -156,6 +157,24 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return found.mapInPandas(open_segments, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def fetch(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, token_ids of those documents in the token files whose doc_id is in `wanted`; only the blocks that hold them are unpacked."""
+
+    def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                ends = np.cumsum(row.lengths)
+                ids = [unpack(row.payload, ends[k] - row.lengths[k], ends[k]).tolist() for k in row.places]
+                yield pd.DataFrame({"doc_id": [row.doc_ids[k] for k in row.places], "token_ids": ids})
+
+    files = spark.read.parquet(folder)
+    placed = files.select("part", "seq", F.posexplode("doc_ids").alias("pos", "doc_id"))
+    placed = placed.join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+    # A segment has no more documents than ids, so the list of those wanted has a bound.
+    placed = placed.groupBy("part", "seq").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    return files.join(placed, ["part", "seq"]).select("doc_ids", "lengths", "payload", "places").mapInPandas(seek, "doc_id long, token_ids array<long>")
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Writes the token files of docs to the shared folder and describes the documents as read from them."""
     folder = f"{shared_folder(docs.sparkSession)}/tokens-{uuid4().hex}"
