@@ -1,9 +1,10 @@
 """Encoding and decoding of whole texts with reuse of content-defined chunks.
 
 A rolling hash over the bytes cuts texts at blanks and line ends, so equal passages give equal chunks wherever they stand.
-Chunks that occur twice in the corpus are encoded once: their texts meet their places by hash, and the ids go to the
-documents. What stands between them in a document is encoded there. Where two pieces meet, the words beside the join are
-encoded together and apart; a document with a join that differs is encoded as a whole, so results are always exact.
+Chunks that occur twice in the corpus are encoded once: their texts meet in one row, and the ids go to the places by a
+join. What stands between them in a document is encoded there. Where two pieces meet, the whole words beside the join are
+encoded together and apart. Where that differs, the join is repaired: a window of words on both sides is encoded, and grows
+until its outer halves agree with the ids of both sides, at the latest when it holds both sides whole.
 
 Which chunks are shared is told to the tasks by a bit map of fixed size: a wrong bit sends a chunk the longer way, with
 the same result. Rows with the same text are encoded once.
@@ -64,7 +65,59 @@ def edge(piece: str) -> tuple[str, str]:
     """The words at both ends of a piece, with the blanks at their outer side."""
     first = piece.find(" ", len(piece) - len(piece.lstrip()))
     last = max(piece.rstrip().rfind(" "), 0)
-    return (piece if first < 0 else piece[:first])[:200], piece[last:][-200:]
+    return piece if first < 0 else piece[:first], piece[last:]
+
+
+def parted(text: str, words: int, at_end: bool) -> tuple[str, str]:
+    """text in two, cut before a blank so that the part at its end, or else at its start, has about `words` words."""
+    at = len(text.rstrip()) if at_end else len(text) - len(text.lstrip())
+    for _ in range(words):
+        at = text.rfind(" ", 0, at) if at_end else text.find(" ", at + 1)
+        if at <= 0:
+            at = 0 if at_end else len(text)
+            break
+    return text[:at], text[at:]
+
+
+def repaired(coder, left: str, right: str, left_ids: bytes, right_ids: bytes, begins: bool = True) -> tuple[bytes, int] | None:
+    """Ids of left + right from the ids of each, and the words of the window that it took on each side (0: none).
+
+    None if the window holds all of left and more text stands before that (not `begins`).
+    """
+    a, b = edge(left)[1], edge(right)[0]
+    one, two, both = coder.whole([a, b, a + b])
+    if one + two == both:
+        return left_ids + right_ids, 0
+    words = 2
+    while True:
+        (before, tail), (head, after) = parted(left, words, True), parted(right, words, False)
+        if not before and not begins:
+            return None
+        if not before and not after:
+            return coder.whole([left + right])[0], words
+        outer, far = parted(tail, words // 2, True)[0], parted(head, words // 2, False)[1]
+        window, tail_ids, head_ids, outer_ids, far_ids = coder.whole([tail + head, tail, head, outer, far])
+        fits = left_ids.endswith(tail_ids) and right_ids.startswith(head_ids)
+        agrees = all(x.startswith(outer_ids) for x in (tail_ids, window)) and all(x.endswith(far_ids) for x in (head_ids, window))
+        if fits and agrees and (outer or not before) and (far or not after):
+            return left_ids[: len(left_ids) - len(tail_ids)] + window + right_ids[len(head_ids) :], words
+        words *= 2
+
+
+def rejoined(coder, text: str) -> bytes:
+    """Ids of a text from those of its chunks, joined one by one with repairs."""
+    done: list[tuple[str, bytes]] = []  # the joins between these hold
+    chunks = chunked([text])[0]
+    for chunk, own in zip(chunks, coder.encode(chunks), strict=True):
+        found = None
+        while done and not (found := repaired(coder, done[-1][0], chunk, done[-1][1], own, len(done) == 1)):
+            (one, one_ids), (two, two_ids) = done[-2:]
+            done[-2:] = [(one + two, one_ids + two_ids)]
+        if found and found[1]:
+            done[-1] = (done[-1][0] + chunk, found[0])
+        else:
+            done.append((chunk, own))
+    return b"".join(ids for _, ids in done)
 
 
 def digests(path: str) -> tuple[str, Callable]:
@@ -72,8 +125,7 @@ def digests(path: str) -> tuple[str, Callable]:
 
     def finish(ids: np.ndarray) -> tuple:
         coder = encoder(path)
-        numbers = " ".join(map(coder.numerals.__getitem__, ids.tolist()))
-        return len(ids), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest()
+        return len(ids), hashlib.sha256(coder.numbers(ids).encode()).hexdigest(), hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest()
 
     return "n_tokens long, ids_sha256 string, decoded_sha256 string", finish
 
@@ -135,7 +187,7 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
         return bool(bits.value[h // 32] >> (h % 32) & 1)
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Places of shared chunks; the text goes along once from each task."""
+        """Places of shared chunks; a chunk's text goes along once from each task."""
         sent: set = set()
         for keys, some in fresh(batches):
             rows = []
@@ -149,20 +201,13 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
             yield table(rows, ["chunk", "key", "pos", "text"])
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Ids for all places of a chunk from its one encoding; rows come by chunk, those with a text first."""
-        name, held = None, None
+        """Ids and outer words of each chunk."""
+        coder = encoder(tokenizer)
         for batch in batches:
-            heads = batch.chunk.ne(batch.chunk.shift())
-            if len(batch) and name == batch.chunk.iloc[0]:
-                heads.iloc[0] = False
-            first = batch[heads]
-            got = iter(zip(encoder(tokenizer).encode(first.text.tolist()), map(edge, first.text), strict=True))
-            rows = []
-            for is_head, chunk, key, pos in zip(heads, batch.chunk, batch["key"], batch.pos, strict=True):
-                if is_head:
-                    name, held = chunk, next(got)
-                rows.append((key, pos, held[0], *held[1]))
-            yield table([(*r, *[None] * len(names)) for r in rows], ["key", "pos", "ids", "head", "tail", *names])
+            for i in range(0, len(batch), SLICE):
+                some = batch.text.iloc[i : i + SLICE].tolist()
+                rows = [(name, ids, *edge(c)) for name, ids, c in zip(batch.chunk.iloc[i : i + SLICE], coder.encode(some), some, strict=True)]
+                yield table(rows, ["chunk", "ids", "head", "tail"])
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Ids of what lies between shared chunks; documents without any are finished here."""
@@ -201,7 +246,7 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
             if (left, right) not in agreed:
                 if len(agreed) > 50_000:
                     agreed.clear()
-                a, b, both = coder._whole([left, right, left + right])
+                a, b, both = coder.whole([left, right, left + right])
                 agreed[left, right] = a + b == both
             return agreed[left, right]
 
@@ -229,13 +274,15 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(tokenizer)
         for keys, some in fresh(batches):
-            ids = coder._whole(some)
-            yield table([(k, *finish(np.frombuffer(i, coder.type))) for k, i in zip(keys, ids, strict=True)], ["key", *names])
+            yield table([(k, *finish(np.frombuffer(rejoined(coder, t), coder.type))) for k, t in zip(keys, some, strict=True)], ["key", *names])
 
     n = partitions(spark)
-    want = texts.mapInPandas(wanted, "chunk binary, key binary, pos int, text string")
-    want = want.repartition(n, "chunk").sortWithinPartitions("chunk", F.col("text").asc_nulls_last())
-    found = want.mapInPandas(once, pieces).unionByName(texts.mapInPandas(local, pieces))
+    want = cut(texts.mapInPandas(wanted, "chunk binary, key binary, pos int, text string"))
+    # A chunk's text is the same from every task; one is kept before the exchange and one behind it.
+    done = want.where("text IS NOT NULL").groupBy("chunk").agg(F.max("text").alias("text")).mapInPandas(once, "chunk binary, ids binary, head string, tail string")
+    nothing = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")]
+    met = want.drop("text").join(done.hint("merge"), "chunk").select("key", "pos", "ids", "head", "tail", *nothing)
+    found = met.unionByName(texts.mapInPandas(local, pieces))
     found = found.repartition(n, "key").sortWithinPartitions("key", "pos").mapInPandas(assembled, f"key binary, exact boolean, {columns}")
     found = cut(found)
     odd = found.where("NOT exact").select("key")
