@@ -15,7 +15,7 @@ def rows_of(found):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["songs_csv", "clean_lines", "line_chunks", "hangul_codes", "letter_codes", "loanwords", "line_ends", "song_density", "top_artists", "split_samples", "top_prompts", "verse_rewards", "loanword_candidates", "override_coverage", "loss_curves", "experiment_keys"])
+@pytest.mark.parametrize("name", ["songs_csv", "stored_sample_count", "first_pronunciations", "syllable_scores", "spoken_codes", "exact_split", "trainer_states_json", "word_codes", "line_codes_lexicon", "song_density_lexicon", "clean_lines", "line_chunks", "hangul_codes", "letter_codes", "loanwords", "line_ends", "song_density", "top_artists", "split_samples", "top_prompts", "verse_rewards", "loanword_candidates", "override_coverage", "loss_curves", "experiment_keys"])
 def test_query(spark, name):
     import duckdb
 
@@ -34,10 +34,51 @@ def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
+HEADER = "artist,title,lyrics,bpm,energy,danceability,loudness,valence"
+
+
 def test_song_csv(spark, tmp_path):
-    (tmp_path / "s.csv").write_text('﻿song_id,artist,title,lyrics,bpm,energy,danceability,loudness,valence,rhyme_density,rhyme_density_old\n1,NA,"a ""b""","x\ny",90.5,,,,,,\n', encoding="utf-8")
-    row = io.read_songs(spark, str(tmp_path / "s.csv")).first()
-    assert (row.song_id, row.artist, row.title, row.lyrics, row.bpm, row.energy) == (1, None, 'a "b"', "x\ny", 90.5, None)
+    """Columns by name: without song_id, in any order, with further ones, after a byte order mark."""
+    (tmp_path / "a.csv").write_text(f'{HEADER}\nA,"T ""x""","x\ny",90.5,0.1,0.2,-3.5,0.4\nNA,U,,,,,,\n', encoding="utf-8")
+    one, two = io.read_songs(spark, str(tmp_path / "a.csv")).orderBy("title").collect()
+    assert (one.artist, one.title, one.lyrics, one.bpm, one.energy, one.danceability, one.loudness, one.valence) == ("A", 'T "x"', "x\ny", 90.5, 0.1, 0.2, -3.5, 0.4)
+    assert (two.artist, two.title, two.lyrics, two.bpm) == (None, "U", None, None) and one.song_id != two.song_id
+    (tmp_path / "b.csv").write_text("\ufeffvalence,lyrics,mood.of,song_id,bpm,title,artist,energy,loudness,danceability,rhyme_density\n0.4,x,m,7,90,T,A,0.1,-3,0.2,0.5\n", encoding="utf-8")
+    row = io.read_songs(spark, str(tmp_path / "b.csv")).first()
+    assert (row.song_id, row.artist, row.lyrics, row.bpm, row.valence, row.rhyme_density, row["mood.of"]) == (7, "A", "x", 90.0, 0.4, 0.5, "m")
+    again = io.read_songs(spark, str(tmp_path / "a.csv")).orderBy("title").first()
+    assert again.song_id == one.song_id
+    (tmp_path / "c.csv").write_text("artist,title,bpm\nA,T,1\n")
+    with pytest.raises(ValueError, match="lyrics, energy"):
+        io.read_songs(spark, str(tmp_path / "c.csv"))
+    assert io.read_songs(spark, str(tmp_path / "c.csv"), needed=("artist",)).columns == ["song_id", "artist", "title", "bpm"]
+
+
+def test_song_csv_as_written(spark, tmp_path):
+    """A byte order mark before the header, nothing for missing values, and the same rows when read again."""
+    rows = [(1, "a", " t ", "x\n\"y\", z", 90.5, None), (2, None, "nan so", None, None, 0.25)]
+    songs = spark.createDataFrame(rows, "song_id long, artist string, title string, lyrics string, bpm double, rhyme_density double")
+    io.write_songs(songs.coalesce(1), str(tmp_path / "out"))
+    raw = next((tmp_path / "out").glob("part-*")).read_bytes()
+    assert raw.startswith("\ufeffsong_id,artist".encode()) and b"nan," not in raw and b"2,,nan so,,," in raw
+    back = io.read_songs(spark, str(tmp_path / "out"), needed=("lyrics",)).orderBy("song_id").collect()
+    assert [tuple(r) for r in back] == rows
+
+
+def test_candidates_in_any_order(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("line_end_count\tword\ttotal_count\n2\tnan\t5\n")
+    assert [tuple(r) for r in io.read_candidates(spark, str(tmp_path / "c.tsv")).collect()] == [("nan", 5, 2)]
+
+
+def test_shared_folder_on_a_cluster(spark):
+    """Without a folder that the cluster shares there is an error, and no local one."""
+    from types import SimpleNamespace
+
+    from versejobs.sources.shared import shared_folder
+
+    here = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=here, conf=SimpleNamespace(get=lambda k, d: d)))
 
 
 def test_lexicon(spark, tmp_path):
@@ -54,18 +95,11 @@ def test_trainer_states(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["experiment_keys_whole"])
-def test_whole_input(spark, name):
-    test_query(spark, name)
-    assert max(len(r.key) for r in catalog.QUERIES[name](spark, DATA).collect()) > 24
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["first_pronunciations_whole", "letter_codes_whole", "loanwords_whole"])
-def test_words_of_any_length(spark, name):
-    test_query(spark, name)
-    lengths = {len(r.word) for r in catalog.QUERIES[name](spark, DATA).select("word").collect()}
-    assert min(lengths) < 4 and max(lengths) > 12
+def test_whole_input(spark):
+    """No length of texts or words is left out."""
+    assert max(len(r.key) for r in catalog.QUERIES["experiment_keys"](spark, DATA).collect()) > 1000
+    lengths = {len(r.word) for r in catalog.QUERIES["loanwords"](spark, DATA).select("word").collect()}
+    assert min(lengths) == 1 and max(lengths) > 12
 
 
 def test_bench_times_the_lexicon_join():

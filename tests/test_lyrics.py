@@ -1,5 +1,7 @@
 """Goldens of the phonetic model, rhyme scores, windows and rewards."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,43 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("rewarded").first().reward == pytest.approx(0.75)
+
+
+def test_pronouncing_function(spark):
+    """Null, failing and unknown words keep their spelling; each word is asked once; English words aren't asked."""
+
+    def say(word):
+        return {"밥물": "밤물", "국물": None}[word]
+
+    words = spark.createDataFrame([("밥물",), ("밥물",), ("국물",), ("없다",), ("hello",), (None,)], "token string")
+    got = {r.token: list(r.codes) for r in phonetics.resolve_words(words, g2p=phonetics.spoken(say)).collect()}
+    plain = {r.token: list(r.codes) for r in phonetics.resolve_words(words).collect()}
+    assert got["밥물"] == tables.hangul_codes("밤물") != plain["밥물"]
+    assert {k: v for k, v in got.items() if k != "밥물"} == {k: v for k, v in plain.items() if k != "밥물"} and len(got) == 4
+    song = spark.createDataFrame([(1, "a", "밥물\n밤물")], "song_id long, artist string, lyrics string")
+    assert songs.density_by_words(song, g2p=phonetics.spoken(say)).first().density == 10000
+
+
+@pytest.mark.parametrize("n, share", [(0, 0.1), (1, 0.1), (10, 0.1), (11, 0.1), (995, 0.1), (995, 0.5), (995, 1.0), (995, 0.0)])
+def test_exact_split(spark, n, share):
+    rows = spark.range(n).select(F.col("id").alias("song_id"), F.lit(0).alias("pos"))
+    got = samples.split_exactly(rows, share).collect()
+    assert len(got) == n and sum(r.is_eval for r in got) == math.ceil(n * share)
+    again = samples.split_exactly(rows.repartition(3), share).where("is_eval").collect()
+    assert {r.song_id for r in again} == {r.song_id for r in got if r.is_eval}
+
+
+def test_bars_of_requests(spark):
+    request = spark.createDataFrame([("a", 8), ("b", 16), (None, None)], "artist string, bars int").withColumns({c: F.lit(0.5) for c in ("bpm", "energy", "danceability", "loudness", "valence")})
+    got = [r.prompt.split("\n")[2] for r in prompts.requested(request).collect()]
+    assert got == ["[Verse 8마디]", "[Verse 16마디]", "[Verse 8마디]"]
+    with pytest.raises(Exception, match="bars must be one of"):
+        prompts.requested(request.withColumn("bars", F.lit(12))).collect()
+
+
+def test_line_ends_far_back(spark):
+    """Tokens that bear no sound may stand at the end in any number; few codes send the search to the whole line."""
+    lines = ["love time 강 " + "the " * 12, "강 - - - - - - - -", "x " * 9 + "love", "", "the", "hello-world,강강강강 the"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in rows.select("line", phonetics.last_codes(F.col("line")).alias("tail"), phonetics.line_codes(F.col("line")).alias("codes")).collect():
+        assert r.tail == r.codes[::-1][:3]

@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Label, column, decimals and unit of each audio feature.
+# Label, column, decimals and unit of each audio feature; the words of the texts below are fixed as well.
 AUDIO = (("BPM", "bpm", 0, ""), ("에너지", "energy", 2, ""), ("댄서빌리티", "danceability", 2, ""), ("라우드니스", "loudness", 1, "dB"), ("밸런스", "valence", 2, ""))
 
 
@@ -33,6 +33,12 @@ def sample_text(header: Column, chunk: Column) -> Column:
     return F.concat(F.lit("아티스트: "), named(F.col("artist")), F.lit("\n"), header, F.lit("\n[Verse "), F.size(chunk), F.lit("마디]\n"), F.array_join(chunk, "\n"), F.lit("\n[End]"))
 
 
+def bars_of(bars: Column, allowed: tuple = (8, 16), default: int = 8) -> Column:
+    """How many bars a request asks for; the default for null, an error for any other number."""
+    asked = F.coalesce(bars, F.lit(default))
+    return F.when(asked.isin(*allowed), asked).otherwise(F.raise_error(F.concat(F.lit(f"bars must be one of {allowed}, not "), asked.cast("string"))))
+
+
 def prompt_text(header: Column, bars: Column) -> Column:
     """What a model is asked to go on from."""
     return F.concat(F.lit("아티스트: "), named(F.col("artist")), F.lit("\n"), header, F.lit("\n[Verse "), bars, F.lit("마디]\n"))

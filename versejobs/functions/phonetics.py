@@ -1,5 +1,8 @@
 """Syllables of Hangul and English text as expressions inside one row, as integer codes (see tables)."""
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,6 +10,8 @@ from . import tables as T
 from .text import tokens
 
 CODES = "array<int>"
+#: Words at a line's end that are looked at first.
+NEAR = 6
 
 
 def constants(values: list) -> Column:
@@ -106,10 +111,10 @@ def is_hangul(token: Column) -> Column:
 
 
 def english_codes(word: Column) -> Column:
-    """Codes of an English word without a lexicon."""
+    """Codes of an English word without a lexicon. A map is searched from end to end, a set is hashed."""
     low = F.lower(word)
     given = F.create_map(*[x for w, c in T.OVERRIDE_CODES.items() for x in (F.lit(w), constants(c))])
-    return F.when(low.isin(*T.STOPWORDS), none()).otherwise(F.coalesce(F.element_at(given, low), fallback_codes(low)))
+    return F.when(low.isin(*T.STOPWORDS), none()).when(low.isin(*T.OVERRIDES), F.element_at(given, low)).otherwise(fallback_codes(low))
 
 
 def token_codes(token: Column) -> Column:
@@ -128,10 +133,20 @@ def line_codes(line: Column) -> Column:
 
 
 def last_codes(line: Column) -> Column:
-    """The last three codes of a line, the last one first: only three tokens with sounds are looked at."""
-    sounding = F.filter(tokens(line), bears_sound)
-    three = F.reverse(F.slice(F.reverse(sounding), 1, 3))
-    return F.slice(F.reverse(F.flatten(F.transform(three, token_codes))), 1, 3)
+    """The last three codes of a line, the last one first.
+
+    Only three tokens with sounds are looked at, among those behind the NEAR-th last blank, where no token is cut; the
+    whole line is searched only if these give too few codes.
+    """
+
+    def among(part: Column) -> Column:
+        three = F.slice(F.reverse(F.filter(tokens(part), bears_sound)), 1, 3)
+        return F.slice(F.flatten(F.transform(three, lambda t: F.reverse(token_codes(t)))), 1, 3)
+
+    near = F.substring_index(line, " ", -NEAR)
+    # A function over one element, so that what it names is worked out once.
+    found = F.transform(F.array(F.struct(near.alias("near"), among(near).alias("codes"))), lambda x: F.when((F.size(x["codes"]) == 3) | (F.length(x["near"]) == F.length(line)), x["codes"]).otherwise(among(line)))
+    return F.get(found, 0)
 
 
 def overrides(spark: SparkSession) -> DataFrame:
@@ -143,6 +158,18 @@ def stopwords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w,) for w in T.STOPWORDS], "word string")
 
 
+def spoken(say: Callable[[str], str | None]) -> Callable:
+    """P10: an Arrow UDF from a word's spelling to how it is spoken; null where `say` gives none or fails, so the spelling holds."""
+
+    def one(word: str | None) -> str | None:
+        try:
+            return None if word is None else say(word)
+        except Exception:  # whatever a pronouncing library raises for a word
+            return None
+
+    return F.pandas_udf(lambda words: pd.Series([one(w) for w in words], dtype=object), "string")
+
+
 def resolve_words(words: DataFrame, lexicon: DataFrame | None = None, g2p=None) -> DataFrame:
     """Token, codes for each distinct token of words (token).
 

@@ -6,17 +6,17 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions.phonetics import overrides
 
-#: Words of any script, the English ones with apostrophes inside.
-MINED = "[가-힣]+|[a-z]+(?:'[a-z]+)*"
+#: Words of any script, the English ones with apostrophes inside and with all that follows up to the line's end where no word does.
+MINED = "[가-힣]+|[a-z]+(?:'[a-z]+)*(?:[^a-z가-힣\\n]*+\\n)?"
 
 
-def word_counts(songs: DataFrame, pattern: str = MINED) -> DataFrame:
+def word_counts(songs: DataFrame) -> DataFrame:
     """word, total_count, line_end_count of each English word but stopwords. A task folds its own words before the exchange."""
-    from .songs import songs_lines
-
-    found = songs_lines(songs).select(F.regexp_extract_all(F.lower("line"), F.lit(pattern), F.lit(0)).alias("words"))
-    each = found.select(F.size("words").alias("n"), F.posexplode("words").alias("pos", "word")).where("word < '가'")
-    counts = each.groupBy("word").agg(F.count("*").alias("total_count"), F.sum((F.col("pos") == F.col("n") - 1).cast("int")).alias("line_end_count"))
+    words = F.regexp_extract_all(F.lower(F.concat("lyrics", F.lit("\n"))), F.lit(MINED), F.lit(0))
+    each = songs.select(F.explode(words).alias("found")).where("found < '가'")
+    last = F.endswith("found", F.lit("\n"))
+    each = each.select(F.when(last, F.regexp_extract("found", "^[a-z']*[a-z]", 0)).otherwise(F.col("found")).alias("word"), last.cast("int").alias("last"))
+    counts = each.groupBy("word").agg(F.count("*").alias("total_count"), F.sum("last").alias("line_end_count"))
     return counts.where(~F.col("word").isin(*T.STOPWORDS))
 
 

@@ -20,7 +20,7 @@ def prompts(scored: DataFrame, top: int = TOP, bars: tuple = BARS, number=format
 
 def requested(requests: DataFrame, number=formats.short_number) -> DataFrame:
     """Requests (artist, audio columns, bars) with prompt. No exchange."""
-    return requests.withColumn("prompt", formats.prompt_text(formats.audio(number), F.col("bars")))
+    return requests.withColumn("prompt", formats.prompt_text(formats.audio(number), formats.bars_of(F.col("bars"))))
 
 
 def check_sample(found: DataFrame, n: int = 20) -> DataFrame:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rhyme, text
 
+# The mark of a verse's end and how a prompt names its number of bars.
 END, BARS = "[End]", r"(?U)\[Verse\s+(\d+)\s*마디\]"
-#: Weights of rhyme, length, format, repeats and runs; from the last two on a reward is 0 at most.
+# Weights of rhyme, length, format, repeats and runs; from the last two on a reward is 0 at most.
 WEIGHTS, MOST_REPEATS, MOST_RUN = (0.5, 0.2, 0.2, 0.4, 0.4), 0.6, 3
 
 

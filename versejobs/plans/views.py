@@ -59,22 +59,31 @@ def loss_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: For the pseudo lexicon: the phone that stands for each letter.
-LETTER_PHONES = dict(x.split(">") for x in "a>AE1 b>B c>K d>D e>EH1 f>F g>G h>HH i>IY0 j>JH k>K l>L m>M n>N o>OW1 p>P q>CH r>R s>S t>T u>AH0 v>V w>W x>SH y>Y z>Z".split())
+LETTER_PHONES = {
+    "a": "AE1", "b": "B", "c": "K", "d": "D", "e": "EH1", "f": "F", "g": "G", "h": "HH", "i": "IY0", "j": "JH", "k": "K", "l": "L", "m": "M",
+    "n": "N", "o": "OW1", "p": "P", "q": "CH", "r": "R", "s": "S", "t": "T", "u": "AH0", "v": "V", "w": "W", "x": "SH", "y": "Y", "z": "Z",
+}
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pronunciation for each longer English word of the documents, letter by letter."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).where("length(word) BETWEEN 4 AND 12").distinct()
+    """A pronunciation for every English word of the documents, letter by letter."""
+    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
     phones = F.create_map(*[F.lit(x) for kv in LETTER_PHONES.items() for x in kv])
-    return words.withColumn("phones", F.array_join(F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.element_at(phones, c)), " "))
+    return found.withColumn("phones", F.array_join(F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.element_at(phones, c)), " "))
 
 
-LEXICON_SQL = f"""words AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) BETWEEN 4 AND 12),
-lexicon AS (SELECT word, array_to_string(list_transform(string_split(word, ''), lambda c: MAP {{{", ".join(f"'{k}': '{v}'" for k, v in LETTER_PHONES.items())}}}[c]), ' ') AS phones FROM words)"""
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon as dictionaries are: words of a length divisible by five aren't in it, so all ways to a word's codes are taken."""
+    return lexicon(spark, sf_dir).where("length(word) % 5 != 0")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every English word of the documents, of any length, with its letters' pronunciation."""
-    found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    phones = F.create_map(*[F.lit(x) for kv in LETTER_PHONES.items() for x in kv])
-    return found.withColumn("phones", F.array_join(F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.element_at(phones, c)), " "))
+def trainer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stage, checkpoint, log_history: events as state files with the entries of 1000 event_ids each."""
+    entry = F.struct(F.get_json_object("props", "$.k").alias("step"), F.col("value").cast("string").alias("loss"))
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.lpad(F.floor(F.col("event_id") / 1000).cast("string"), 16, "0").alias("checkpoint"), "event_id", entry.alias("entry"))
+    logs = F.array_sort(F.collect_list(F.struct("event_id", "entry")))  # 1000 entries at most
+    return events.groupBy("stage", "checkpoint").agg(F.transform(logs, lambda x: x["entry"]).alias("log_history"))
+
+
+LEXICON_SQL = f"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+lexicon AS (SELECT word, array_to_string(list_transform(string_split(word, ''), lambda c: MAP {{{", ".join(f"'{k}': '{v}'" for k, v in LETTER_PHONES.items())}}}[c]), ' ') AS phones FROM words)"""

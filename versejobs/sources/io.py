@@ -9,23 +9,48 @@ SONGS = (
 )
 CANDIDATES = "word string, total_count long, line_end_count long"
 TRAINER_STATE = "log_history array<struct<step:string,loss:string>>"
-#: Text that a CSV may hold for a missing value.
+#: Columns that every song needs.
+NEEDED = ("artist", "title", "lyrics", "bpm", "energy", "danceability", "loudness", "valence")
+# Text that a CSV may hold for a missing value.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def known(value: Column) -> Column:
-    return F.when(~value.isin(*MISSING), value)
+def known(value: Column, missing: tuple = MISSING) -> Column:
+    return F.when(~value.isin(*missing), value)
 
 
-def read_songs(spark: SparkSession, path: str, schema: str = SONGS) -> DataFrame:
-    """Songs from CSV with quoted line breaks; texts for missing values become null. Such files can't be split: keep them as Parquet."""
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
-    return rows.withColumns({name: known(F.col(name)) for name, kind in rows.dtypes if kind == "string"})
+def by_name(spark: SparkSession, path: str, kinds: dict[str, str], needed: tuple, missing: tuple = MISSING, **options) -> DataFrame:
+    """A delimited file with a header: columns go by their names, whatever their order; those in `kinds` get their type.
+
+    A missing one of `needed` is an error; further columns stay, as text. The header is the first file's: another file in
+    the folder with other names or another order is an error too. A byte order mark before the header is passed over.
+    """
+    rows = spark.read.csv(path, header=True, enforceSchema=False, **options)
+    rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
+    if lacking := [c for c in needed if c not in rows.columns]:
+        raise ValueError(f"{path} has no column {', '.join(lacking)}")
+    return rows.select(*[known(F.col(f"`{c}`"), missing).cast(kinds.get(c, "string")).alias(c) for c in rows.columns])
+
+
+def read_songs(spark: SparkSession, path: str, needed: tuple = NEEDED) -> DataFrame:
+    """Songs from CSV with quoted line breaks; texts for missing values become null.
+
+    Without a column song_id it is derived from artist, title and lyrics, so exact copies share it. Such files can't be
+    split: keep them as Parquet.
+    """
+    kinds = dict(c.split() for c in SONGS.split(", "))
+    rows = by_name(spark, path, kinds, needed, multiLine=True, quote='"', escape='"')
+    named = [c for c in ("artist", "title", "lyrics") if c in rows.columns]
+    if "song_id" not in rows.columns and named:
+        rows = rows.select(F.xxhash64(*named).alias("song_id"), "*")
+    return rows
 
 
 def write_songs(songs: DataFrame, path: str) -> None:
-    """Songs as CSV, to a folder of their own."""
-    songs.write.csv(path, header=True, quoteAll=True, escape='"', nullValue="nan")
+    """Songs as CSV, to a folder of their own, with a byte order mark before the header and nothing for missing values."""
+    first, *others = songs.columns
+    marked = songs.select(F.col(first).alias("\ufeff" + first), *others)
+    marked.write.csv(path, header=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
@@ -34,13 +59,19 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """S4; S5 is its count()."""
+    """S4"""
     return spark.read.schema("text string").json(path)
 
 
+def count_samples(spark: SparkSession, path: str) -> DataFrame:
+    """How many samples an output has; no text is parsed."""
+    return spark.read.text(path).where("trim(value) != ''").agg(F.count("*").alias("samples"))
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """S6"""
-    return spark.read.schema(CANDIDATES).csv(path, sep="\t", header=True)
+    kinds = dict(c.split() for c in CANDIDATES.split(", "))
+    return by_name(spark, path, kinds, tuple(kinds), missing=("",), sep="\t").select(*kinds)
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:
@@ -59,7 +90,12 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return first_pronunciations(spark.read.text(path))
 
 
+def write_trainer_states(states: DataFrame, path: str) -> None:
+    """A state file for each row of states (stage, checkpoint, log_history), in folders as read_trainer_states() finds them."""
+    states.write.partitionBy("stage", "checkpoint").json(path)
+
+
 def read_trainer_states(spark: SparkSession, path: str) -> DataFrame:
     """log_history and file of each state file; the stage is the folder above the checkpoint's."""
     rows = spark.read.schema(TRAINER_STATE).json(path, multiLine=True).select("log_history", F.col("_metadata.file_path").alias("file"))
-    return rows.withColumn("stage", F.regexp_extract("file", "([^/]+)/[^/]+/[^/]+$", 1))
+    return rows.withColumn("stage", F.regexp_extract("file", "([^/=]+)/[^/]+/[^/]+$", 1))
