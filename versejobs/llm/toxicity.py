@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .quality import training_rows
 
-#: Most labelled rows of each label that the field is fitted on, and the longest text among them, in characters.
-SAMPLE, LONGEST = 1500, 40_000
+#: Most labelled rows of each label that the field is fitted on.
+SAMPLE = 1500
+#: Of a training text with more characters than PIECES * PIECE so many pieces are taken, evenly from its start to its end.
+PIECES, PIECE = 20, 2000
 #: A word with a marginal from this on counts for its document's score; from CUT on it belongs to a span.
 FLOOR, CUT = 0.05, 0.3
 #: Hashed features.
@@ -182,7 +184,10 @@ def token_labels(texts: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE) -> Field:
     """The field learnt from the labelled rows that `keep` allows."""
-    rows, counts = training_rows(docs.where(F.length("text") <= LONGEST), labels, "toxic", keep, sample)
+    rows, counts = training_rows(docs.where("text IS NOT NULL"), labels, "toxic", keep, sample)
+    size = F.length("text")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", (F.floor((size - PIECE) * i / (PIECES - 1)) + 1).cast("int"), F.lit(PIECE)))
+    rows = rows.withColumn("text", F.when(size > PIECES * PIECE, F.array_join(pieces, " ")).otherwise(F.col("text")))
     got = rows.orderBy("doc_id", F.xxhash64("text")).select("text", "label").toPandas()
     texts, toxic = [WORD.findall(x) for x in got.text], got.label.tolist()
     field = Field()
