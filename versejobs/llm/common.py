@@ -1,22 +1,14 @@
 """What several operators share: cut lineage, numbered rows, text sizes."""
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: A word, where only ASCII white space parts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder in the one that the cluster names in spark.checkpoint.dir; a new one where that is unset."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that lost executors don't lose it."""
     shared_folder(df.sparkSession)
@@ -27,6 +19,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(name: str, *rows: DataFrame) -> str:
+    """name, with as many underscores in front as it takes so that none of `rows` has such a column."""
+    taken = {c.lower() for df in rows for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

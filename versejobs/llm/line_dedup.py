@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines, with DataFrame operations only.
+"""Line dedup by content-defined chunks of lines and by repeated long runs, with DataFrame operations only.
 
 A line's hash is the start of its MD5. A rolling hash over each two neighbouring lines ends a chunk where it is divisible
 by DIVISOR, so an inserted line moves only the boundaries next to it. Chunks of two lines and more that stand twice in
@@ -6,20 +6,23 @@ the corpus are removed everywhere but at their first place: the smallest doc_id,
 as alike only if their bytes are: the texts themselves are the grouping key, the MD5 only leads from there to the places,
 and a digest that stood for two texts would remove nothing.
 
+Chunks miss what lies across their boundaries. So every run of lines with over LONG words that stands twice goes as well,
+wherever it begins: of each line with words the shortest such runs that begin and that end with it. Every longer repeated run
+is made up of these, so all its lines from the first with words to the last go, but at its first place. Runs are grouped by the
+SHA-256 of the SHA-256 of their lines.
+
+A document's places are brought together by document, never by what they hold, so no task depends on how often a chunk occurs.
+
 Defined results: a null text stays null with 0 lines; an empty text is one empty line; a text all of whose lines go
 becomes empty; null doc_ids rank last and count as one document; rows with equal doc_id and text get equal results and
-take nothing from each other; an empty table gives an empty result; further columns stay, n_lines and removed_lines are set.
-
-Chunks miss what lies across their boundaries. passages() takes, besides the chunks, every run of lines with over LONG words
-that stands twice, wherever it begins: of each line with words the shortest such runs that begin and that end with it. Every
-longer repeated run is made up of these, so all its lines from the first with words to the last go, but at its first place.
-These places are grouped by the SHA-256 of their text.
+take nothing from each other; an empty table gives an empty result; further columns stay, whatever their names;
+n_lines and removed_lines are set.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, unused
 
 #: A chunk ends after a line where the rolling hash is divisible by this: the mean number of lines.
 DIVISOR = 3
@@ -33,103 +36,92 @@ LAST_ID = (1 << 63) - 1
 
 
 def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, _h (hash of the text), pos, first (line, from 0), n and chunk, the text of it, for each chunk of each document."""
+    """doc_id, h (hash of the text), first (line, from 0), n and chunk, the text of it, for each chunk of each document."""
 
     def hash_of(line):
         return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
-    lined = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_h"), F.split("text", "\n", -1).alias("_lines"))
-    lined = lined.withColumn("_hashes", F.transform("_lines", hash_of))
-    n = F.size("_hashes")
+    lined = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines")).where("lines is not null")
+    lined = lined.withColumn("hashes", F.transform("lines", hash_of))
+    n = F.size("hashes")
 
     def ends(i):
-        rolled = F.get("_hashes", i - 1) * 31 + F.get("_hashes", i)
+        rolled = F.get("hashes", i - 1) * 31 + F.get("hashes", i)
         return (i == n - 1) | ((i >= ROLL - 1) & (rolled % divisor == 0))
 
-    lined = lined.withColumn("_ends", F.filter(F.sequence(F.lit(0), n - 1), ends))
-    spans = F.transform("_ends", lambda e, j: F.struct(F.when(j == 0, 0).otherwise(F.get("_ends", j - 1) + 1).alias("first"), e.alias("last")))
-    found = lined.select("doc_id", "_h", "_lines", F.posexplode(spans).alias("pos", "_span"))
-    size = F.col("_span.last") - F.col("_span.first") + 1
-    text = F.array_join(F.slice("_lines", F.col("_span.first") + 1, size), "\n")
-    return found.select("doc_id", "_h", "pos", F.col("_span.first").alias("first"), size.alias("n"), text.alias("chunk"))
-
-
-def removals(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
-    """doc_id, _h and _spans (first line, lines) of what goes, for each document that loses something."""
-    long_ones = chunks(docs, divisor).where(F.col("n") >= least)
-    ranked = F.coalesce("doc_id", F.lit(LAST_ID))
-    # Grouping by the text compares bytes; copies within a task are folded before the shuffle.
-    repeated = long_ones.groupBy("chunk").agg(F.count("*").alias("_times"), F.min(ranked).alias("_owner")).where("_times > 1")
-    repeated = repeated.groupBy(F.md5("chunk").alias("_digest")).agg(F.count("*").alias("_texts"), F.min("_owner").alias("_owner")).where("_texts = 1")
-    places = long_ones.select("doc_id", "_h", "pos", "first", "n", F.md5("chunk").alias("_key"))
-    places = places.join(repeated, F.col("_key") == F.col("_digest"))
-    earliest = F.min("pos").over(Window.partitionBy("doc_id", "_h", "_key"))
-    gone = places.withColumn("_at", earliest).where((F.coalesce("doc_id", F.lit(LAST_ID)) != F.col("_owner")) | (F.col("pos") > F.col("_at")))
-    return gone.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("first", "n")).alias("_spans"))
-
-
-def dedup(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
-    """docs with repeated chunks taken out of text, and the columns n_lines (before) and removed_lines."""
-    gone = removals(docs, divisor, least).withColumnsRenamed({"doc_id": "_gone_id", "_h": "_gone_h"})
-    kept = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    both = docs.select(*kept, F.xxhash64("text").alias("_text_h"))
-    both = both.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_h") == F.col("_gone_h")), "left")
-    both = both.withColumn("_lost", F.when(F.col("_spans").isNotNull(), F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))))
-    both = both.withColumn("removed_lines", F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long"))
-    both = both.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_lost", i)), "\n")
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(left)
-    return both.withColumn("text", text).select(*kept, "n_lines", "removed_lines")
+    lined = lined.withColumn("ends", F.filter(F.sequence(F.lit(0), n - 1), ends))
+    spans = F.transform("ends", lambda e, j: F.struct(F.when(j == 0, 0).otherwise(F.get("ends", j - 1) + 1).alias("first"), e.alias("last")))
+    found = lined.select("doc_id", "h", "lines", F.explode(spans).alias("span"))
+    size = F.col("span.last") - F.col("span.first") + 1
+    text = F.array_join(F.slice("lines", F.col("span.first") + 1, size), "\n")
+    return found.select("doc_id", "h", F.col("span.first").alias("first"), size.alias("n"), text.alias("chunk"))
 
 
 def runs(docs: DataFrame, long: int = LONG) -> DataFrame:
-    """doc_id, _h, first, n and key (SHA-256 of the text) of the shortest runs of lines with over `long` words, from and up to each line."""
-    lined = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_h"), F.split("text", "\n", -1).alias("_lines"))
-    # The line of each word: of the words p to p + long the first and the last name a run.
-    lined = lined.withColumn("_of", F.flatten(F.transform("_lines", lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit(WORD))))))
-    lined = lined.withColumn("_most", F.size("_of") - 1 - long).where("_most >= 0")
+    """doc_id, h, first, n and key of the shortest runs of lines with over `long` words from and up to each line with words."""
+    lined = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines")).where("lines is not null")
+    # The line of each word. A line's first word and the one `long` words on name a run, as do its last and the one `long` before.
+    lined = lined.withColumn("of", F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit(WORD))))))
+    lined = lined.withColumn("most", F.size("of") - 1).where(F.col("most") >= long)
 
     def at(i):
-        return F.get("_of", i)
+        return F.get("of", i)
+
+    heads = F.filter(F.sequence(F.lit(0), "most"), lambda p: (p == 0) | (at(p - 1) != at(p)))
+    lined = lined.withColumn("heads", heads).withColumn("keys", F.transform("lines", lambda x: F.sha2(x, 256)))
+    starts = F.transform(F.filter("heads", lambda p: p + long <= F.col("most")), lambda p: F.struct(at(p).alias("first"), at(p + long).alias("last")))
+    tails = F.transform("heads", lambda p, i: F.coalesce(F.get("heads", i + 1), F.col("most") + 1) - 1)
+    stops = F.transform(F.filter(tails, lambda q: q >= long), lambda q: F.struct(at(q - long).alias("first"), at(q).alias("last")))
+
+    def named(r):
+        n = r["last"] - r["first"] + 1
+        return F.struct(r["first"].alias("first"), n.alias("n"), F.unhex(F.sha2(F.array_join(F.slice("keys", r["first"] + 1, n), ""), 256)).alias("key"))
 
-    def shortest(p):
-        return (p == 0) | (at(p - 1) != at(p)) | (p == F.col("_most")) | (at(p + long) != at(p + long + 1))
+    lined = lined.select("doc_id", "h", "keys", F.array_distinct(F.concat(starts, stops)).alias("found"))
+    return lined.select("doc_id", "h", F.explode(F.transform("found", named)).alias("run")).select("doc_id", "h", "run.*")
 
-    codes = F.transform(F.filter(F.sequence(F.lit(0), F.col("_most")), shortest), lambda p: F.shiftleft(at(p).cast("long"), 32) + at(p + long))
-    lined = lined.withColumn("_codes", F.array_distinct(codes))
 
-    def named(c):
-        first = F.shiftright(c, 32).cast("int")
-        n = c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - first + 1
-        return F.struct(first.alias("first"), n.alias("n"), F.unhex(F.sha2(F.array_join(F.slice("_lines", first + 1, n), "\n"), 256)).alias("key"))
+def ranked() -> Column:
+    return F.coalesce("doc_id", F.lit(LAST_ID))
 
-    return lined.select("doc_id", "_h", F.explode(F.transform("_codes", named)).alias("_run")).select("doc_id", "_h", "_run.*")
+
+def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
+    """doc_id, h, first, n, key and owner (the smallest doc_id that has it) of the places of chunks that stand twice."""
+    places = chunks(docs, divisor).where(F.col("n") >= least)
+    # Grouping by the text compares bytes; copies within a task are folded before the shuffle.
+    twice = places.groupBy("chunk").agg(F.count("*").alias("times"), F.min(ranked()).alias("owner")).where("times > 1")
+    twice = twice.groupBy(F.unhex(F.md5("chunk")).alias("key")).agg(F.count("*").alias("texts"), F.min("owner").alias("owner")).where("texts = 1").drop("texts")
+    return places.select("doc_id", "h", "first", "n", F.unhex(F.md5("chunk")).alias("key")).join(twice, "key")
 
 
-def repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
-    """doc_id, _h and _spans of the runs that go, as in removals()."""
+def repeated_runs(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """The places of runs that stand twice, as in repeated_chunks()."""
     places = runs(docs, long)
-    ranked = F.coalesce("doc_id", F.lit(LAST_ID))
-    repeated = places.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_times"), F.min(ranked).alias("_owner")).where("_times > 1").drop("_times")
-    places = places.join(repeated, F.col("key") == F.col("_key"))
-    earliest = F.min("first").over(Window.partitionBy("doc_id", "_h", "_key"))
-    gone = places.withColumn("_at", earliest).where((F.coalesce("doc_id", F.lit(LAST_ID)) != F.col("_owner")) | (F.col("first") > F.col("_at")))
-    return gone.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("first", "n")).alias("_spans"))
-
-
-def passages(docs: DataFrame, long: int = LONG) -> DataFrame:
-    """docs as dedup() gives them, without the repeated runs of over `long` words as well."""
-    gone = removals(docs).unionByName(repeats(docs, long)).groupBy("doc_id", "_h").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
-    gone = gone.withColumnsRenamed({"doc_id": "_gone_id", "_h": "_gone_h"})
-    kept = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    both = docs.select(*kept, F.xxhash64("text").alias("_text_h"))
-    both = both.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_h") == F.col("_gone_h")), "left")
-    lines = F.split("text", "\n", -1)
-    lost = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
-    both = both.withColumn("_lost", lost)
-    both = both.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    both = both.withColumn("removed_lines", F.when(F.col("_lost").isNull(), 0).otherwise(F.size("_lost")).cast("long"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lost")
-    both = both.withColumn("_split", lines).withColumn("_left", left)
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_split", i)), "\n"))
-    return both.withColumn("text", text).select(*kept, "n_lines", "removed_lines")
+    twice = places.groupBy("key").agg(F.count("*").alias("times"), F.min(ranked()).alias("owner")).where("times > 1").drop("times")
+    return places.join(twice, "key")
+
+
+def dedup(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST, long: int | None = LONG) -> DataFrame:
+    """docs without the repeated chunks and runs in text, and the columns n_lines (before) and removed_lines; long None: chunks alone."""
+    narrow = docs.select("doc_id", "text")
+    places = repeated_chunks(narrow, divisor, least)
+    if long is not None:
+        places = places.unionByName(repeated_runs(narrow, long))
+    own = ranked() == F.col("owner")
+    place = F.struct(F.when(own, F.col("key")).alias("key"), "first", "n")
+    gone = places.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(place)).alias("places"))
+    # Keys stand in order, so a place of the owner's goes if the one before it has its key.
+    again = F.filter("places", lambda x, i: x["key"].isNull() | ((i > 0) & (F.get("places", i - 1)["key"] == x["key"])))
+    gone = gone.select(F.col("doc_id").alias("id"), "h", F.transform(again, lambda x: F.struct(x["first"].alias("first"), x["n"].alias("n"))).alias("spans")).where("size(spans) > 0")
+
+    given = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    lost, text = unused("lost", docs), unused("lines", docs)
+    gone = gone.select(F.struct("id", "h", "spans").alias(lost))
+    both = docs.select(*given).join(gone, F.col("doc_id").eqNullSafe(F.col(f"{lost}.id")) & (F.xxhash64("text") == F.col(f"{lost}.h")), "left")
+    both = both.withColumn(lost, F.array_distinct(F.flatten(F.transform(f"{lost}.spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))))
+    both = both.withColumn(text, F.split("text", "\n", -1))
+    both = both.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(text)).cast("long"))
+    both = both.withColumn("removed_lines", F.when(F.col(lost).isNull(), 0).otherwise(F.size(lost)).cast("long"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(text) - 1), lost)
+    kept = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(text, i)), "\n"))
+    return both.withColumn("text", kept).select(*given, "n_lines", "removed_lines")

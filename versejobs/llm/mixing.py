@@ -2,22 +2,26 @@
 
 Each source gets a target in words. Its documents are lined up by size, each stands for `target / source size` expected
 copies, and one random offset is added to the running sum: a document is taken once for each whole number that the sum
-crosses at it. Taking a source in order of size keeps its words within about one large document of the target.
+crosses at it. Taking a source in order of size keeps its words within about half a large document of the target; of some
+random offsets the best one brings them nearer.
 
 Defined results: a null text has size 0; null sources are one source, the last; a source without words has target 0 and
-nothing of it is taken; repeated rows count one by one; an empty table gives an empty result; further columns stay.
+nothing of it is taken; repeated rows count one by one; an empty table gives an empty result; further columns
+stay, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, unit_hash, word_count
+from .common import cut, numbered, unit_hash, unused, word_count
 
 #: Sources by code point weigh these, repeating.
 WEIGHTS = (1, 2, 3)
 #: Most that a source, and so a document, is repeated.
 MOST = 3
 SEED = "mix-1"
+#: Offsets that are drawn for a source; the one that brings its words nearest to the target is added.
+TRIES = 8
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -49,13 +53,19 @@ def copies(docs: DataFrame, seed: str = SEED, by: tuple = ("doc_id", "source", "
     goal = targets(sizes).withColumnRenamed("source", "_of")
     lined = numbered(sizes, ["source"], ["size", *[c for c in by if c not in ("source", "size")]])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = goal.withColumn("_rate", rate).withColumn("_offset", unit_hash(seed, F.col("_of")))
+    goal = goal.withColumn("_rate", rate)
 
-    def crossed(n: Column) -> Column:
-        return F.floor(n.cast("double") * F.col("_rate") + F.col("_offset"))
+    def crossed(offset: Column) -> Column:
+        upto, before = ((F.col("row_no") + k).cast("double") * F.col("_rate") + offset for k in (1, 0))
+        return F.floor(upto) - F.floor(before)
 
-    taken = crossed(F.col("row_no") + 1) - crossed(F.col("row_no"))
-    return lined.join(goal, F.col("source").eqNullSafe(F.col("_of"))).select(*by, "source_size", "target", taken.alias("copies"))
+    offsets = [unit_hash(f"{seed}-{k}", F.col("_of")) for k in range(TRIES)]
+    placed = lined.join(goal, F.col("source").eqNullSafe(F.col("_of")))
+    tried = placed.groupBy("_of").agg(F.first("target").alias("_goal"), *[F.sum(crossed(o) * F.col("size")).alias(f"_taken{k}") for k, o in enumerate(offsets)])
+    off_by = [F.struct(F.abs(F.col(f"_taken{k}").cast("double") - F.col("_goal")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(offsets)]
+    chosen = tried.select(F.col("_of").alias("_source"), F.array_min(F.array(*off_by))["offset"].alias("_offset"))
+    goal = goal.join(chosen, F.col("_of").eqNullSafe(F.col("_source")))
+    return lined.join(goal, F.col("source").eqNullSafe(F.col("_of"))).select(*by, "source_size", "target", crossed(F.col("_offset")).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -63,15 +73,17 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     Texts move once, to meet their number of copies; rows alike in doc_id, source and text are interchangeable.
     """
-    kept = docs.columns
+    kept, alike, copy = docs.columns, unused("alike", docs), unused("copy", docs)
     # Null is told from text by a mark, so that one plain column says which rows are alike.
-    alike = F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("doc_id", "source")], F.xxhash64("text").cast("string")))
-    keyed = docs.withColumn("_alike", alike)
-    plan = copies(keyed, seed, ("doc_id", "source", "size", "_alike"))
-    plan = plan.groupBy(F.col("_alike").alias("_key")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
-    found = keyed.join(plan, F.col("_alike") == F.col("_key"))
+    digest = F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("doc_id", "source")], F.xxhash64("text").cast("string")))
+    narrow = docs.select("doc_id", "source", "text").withColumn("_alike", digest)
+    plan = copies(narrow, seed, ("doc_id", "source", "size", "_alike"))
+    plan = plan.groupBy(F.col("_alike").alias(copy)).agg(F.struct(F.sum("copies").alias("all"), F.count("*").alias("rows")).alias(f"{copy}_plan"))
+    plan = plan.select(F.struct(F.col(copy).alias("key"), F.col(f"{copy}_plan.*")).alias(copy))
+    found = docs.withColumn(alike, digest)
+    found = found.join(plan, F.col(alike) == F.col(f"{copy}.key"))
     # Rows that are alike share their copies; the window reads them in the order that the join has left.
-    rank = F.row_number().over(Window.partitionBy("_alike").orderBy("_alike"))
-    n = F.floor(F.col("_all") / F.col("_rows")) + F.when(rank <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    found = found.withColumn("_n", n).where("_n > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*kept)
+    rank = F.row_number().over(Window.partitionBy(alike).orderBy(alike))
+    n = F.floor(F.col(f"{copy}.all") / F.col(f"{copy}.rows")) + F.when(rank <= F.col(f"{copy}.all") % F.col(f"{copy}.rows"), 1).otherwise(0)
+    found = found.withColumn(copy, n).where(F.col(copy) > 0)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*kept)

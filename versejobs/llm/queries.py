@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, images, jaccard, licenses, line_dedup, mixing, quality, token_files, toxicity
-from .common import cut
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,17 +52,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op10_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds images; each vector is drawn, with edited copies of every tenth, and all of these are searched."""
-    return images.groups(cut(images.mosaics(read(spark, sf_dir, "embeddings"))))
+    return images.groups(images.mosaics(read(spark, sf_dir, "embeddings")))
 
 
 QUERIES = {
@@ -75,7 +70,6 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_token_files": op7_token_files,
     "op8_line_dedup": op8_line_dedup,
-    "op8_passages": op8_passages,
     "op9_bpe": op9_bpe,
     "op10_images": op10_images,
 }
@@ -89,32 +83,20 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) O
   / sum(w) OVER (ORDER BY 3 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 goals AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, (SELECT max(level) FROM levels) * w) AS target FROM levels),
 lined AS (SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-  ('0x' || substr(md5('mix-1:' || coalesce(s.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE AS shift,
   row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS i
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, ((floor(i::DOUBLE * rate + shift) - floor((i - 1)::DOUBLE * rate + shift)) * size)::BIGINT AS taken FROM lined
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+tried AS (SELECT *, ('0x' || substr(md5('mix-1-' || k || ':' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE AS shift FROM lined, range(8) AS tries(k)),
+taken AS (SELECT *, ((floor(i::DOUBLE * rate + shift) - floor((i - 1)::DOUBLE * rate + shift)) * size)::BIGINT AS taken FROM tried),
+chosen AS (SELECT source, k FROM (SELECT source, k, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM taken GROUP BY source, k) QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
+SELECT doc_id, size, source_size, target, taken FROM taken t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.k = c.k
 """
 
+#: Chunks by the rolling hash, and all shortest runs of lines with 51 words or more by the number of words before each line.
 OP8_SQL = """
 WITH lined AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 hashed AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lined),
 cut AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i > 1 AND (h[i - 1] * 31 + h[i]) % 3 = 0)) AS ends FROM hashed),
 spans AS (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS j FROM cut),
-placed AS (SELECT doc_id, lines, j, CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] + 1 END AS a, ends[j] AS b FROM spans),
-texts AS (SELECT doc_id, j, a, b, array_to_string(lines[a:b], chr(10)) AS chunk FROM placed WHERE b > a),
-judged AS (SELECT *, count(*) OVER (PARTITION BY chunk) AS times, min(doc_id) OVER (PARTITION BY chunk) AS owner, min(j) OVER (PARTITION BY doc_id, chunk) AS earliest FROM texts),
-gone AS (SELECT doc_id, flatten(list(range(a, b + 1))) AS lost FROM judged WHERE times > 1 AND (doc_id <> owner OR j > earliest) GROUP BY doc_id)
-SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lost), 0)::BIGINT AS removed_lines,
-  CASE WHEN lost IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(lost, i)), chr(10)) END AS text
-FROM lined l LEFT JOIN gone g ON l.doc_id = g.doc_id
-"""
-
-#: The chunks of OP8_SQL, and all shortest runs of lines with 51 words or more by the number of words before each line.
-OP8_PASSAGES_SQL = """
-WITH lined AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-hashed AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM lined),
-cut AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (i > 1 AND (h[i - 1] * 31 + h[i]) % 3 = 0)) AS ends FROM hashed),
-spans AS (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS j FROM cut),
 chunks AS (SELECT doc_id, CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] + 1 END AS a, ends[j] AS b, lines FROM spans),
 each AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM lined),
 sized AS (SELECT doc_id, i, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM each),
@@ -134,5 +116,4 @@ FROM lined l LEFT JOIN gone g ON l.doc_id = g.doc_id
 ORACLES = {
     "op2_mixing": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
-    "op8_passages": OP8_PASSAGES_SQL,
 }
