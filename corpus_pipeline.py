@@ -5,6 +5,12 @@
 3. near_duplicates: of each component of linked documents the one with the smallest doc_id stays.
 4. mix: documents are taken once, several times or not at all, so that sources meet their targets.
 5. bpe: what stays is encoded and decoded.
+
+Defined results: a null text has no words and no shingles: the classifier scores it as an empty one, no line of it goes, it is
+no one's copy, the mix takes it as a document without words, and it is encoded as an empty text; so is an empty text, and
+long ones are read to their end. A null doc_id counts as the last one; a component of rows without doc_id keeps them. Of
+rows alike in doc_id and text the third stage keeps one. A null source is the last source. Columns other than
+COLUMNS are dropped, whatever their names; an empty table gives an empty result at every stage.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +31,7 @@ def good_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.passages(docs.select(*COLUMNS)).where((F.col("removed_lines") == 0) | (word_count(F.col("text")) > 0))
+    left = line_dedup.dedup(docs.select(*COLUMNS)).where((F.col("removed_lines") == 0) | (word_count(F.col("text")) > 0))
     return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
@@ -54,7 +60,7 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: The classifier and the tokenizer can't be expressed in SQL; tests hold run() against a brute-force version.
+#: The classifier and the tokenizer can't be expressed in SQL; tests hold every stage and run() against plain Python.
 ORACLE_SQL = None
 
 
