@@ -118,13 +118,22 @@ def mix_by_hand(rows):
             parts = ["\x01" if x is None else str(x) for x in (r[0], r[3])] + [str(h - (1 << 64) if h >= 1 << 63 else h)]
             return hashlib.md5("\x00".join(parts).encode()).hexdigest()
 
+        def taken(own, rate):
+            for k in range(8):
+                u = int(hashlib.md5(f"mix-1-{k}:{s or ''}".encode()).hexdigest()[:8], 16) / 2**32
+                found = [math.floor((i + 1) * rate + u) - math.floor(i * rate + u) for i in range(len(own))]
+                yield k, found, float(sum(c * len(words(r[1])) for c, r in zip(found, own, strict=True)))
+
         own = sorted((r for r in rows if r[3] == s), key=lambda r: (len(words(r[1])), last_if_none(r[0]), alike(r)))
-        tries = []
-        for k in range(8):
-            u = int(hashlib.md5(f"mix-1-{k}:{s or ''}".encode()).hexdigest()[:8], 16) / 2**32
-            copies = [math.floor((i + 1) * rate + u) - math.floor(i * rate + u) for i in range(len(own))]
-            tries.append((abs(sum(c * len(words(r[1])) for c, r in zip(copies, own, strict=True)) - goal), k, copies))
-        for r, c in zip(own, min(tries)[2], strict=True):
+        large, small = ([r for r in own if (len(words(r[1])) * 32 > goal) == big] for big in (True, False))
+        rest = float(sum(len(words(r[1])) for r in small))
+
+        def filled(w):
+            return min(max(goal - w, 0.0), rest * 3.0)
+
+        _, _, _, first, w = min((abs(goal - w - filled(w)), abs(goal - rest * rate - w), k, c, w) for k, c, w in taken(large, rate))
+        _, _, second = min((abs(goal - w - v), k, c) for k, c, v in taken(small, filled(w) / rest if rest else 0.0))
+        for r, c in [*zip(large, first, strict=True), *zip(small, second, strict=True)]:
             out += [r] * c
     return out
 

@@ -2,8 +2,8 @@
 
 Each source gets a target in words. Its documents are lined up by size, each stands for `target / source size` expected
 copies, and one random offset is added to the running sum: a document is taken once for each whole number that the sum
-crosses at it. Taking a source in order of size keeps its words within about half a large document of the target; of some
-random offsets the best one brings them nearer.
+crosses at it. Large documents of a source are lined up first; what they leave of the target, or have in excess, changes the
+expected copies of all others alike. Of some random offsets the one that brings the words nearest to the target is used.
 
 Defined results: a null text has size 0; null sources are one source, the last; a source without words has target 0 and
 nothing of it is taken; repeated rows count one by one; an empty table gives an empty result; further columns
@@ -22,6 +22,8 @@ MOST = 3
 SEED = "mix-1"
 #: Offsets that are drawn for a source; the one that brings its words nearest to the target is added.
 TRIES = 8
+#: A document of more than one of so many parts of its source's target is a large one.
+LARGE = 32
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -50,22 +52,43 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
 def copies(docs: DataFrame, seed: str = SEED, by: tuple = ("doc_id", "source", "size")) -> DataFrame:
     """One row for each row of docs: the columns `by`, then source_size, target and how many copies the mix takes."""
     sizes = cut(docs.withColumn("size", word_count(F.col("text"))).select(*by))
-    goal = targets(sizes).withColumnRenamed("source", "_of")
-    lined = numbered(sizes, ["source"], ["size", *[c for c in by if c not in ("source", "size")]])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = goal.withColumn("_rate", rate)
+    goal = cut(targets(sizes).withColumnsRenamed({"source": "_of", "source_size": "_all", "target": "_goal"}))
+    same = F.col("source").eqNullSafe(F.col("_of"))
+    classed = sizes.join(goal, same).withColumn("_large", F.col("size") * LARGE > F.col("_goal")).select(*by, "_large")
+    lined = numbered(classed, ["source", "_large"], ["size", *[c for c in by if c not in ("source", "size")]])
+    offsets = [unit_hash(f"{seed}-{k}", F.col("_of")) for k in range(TRIES)]
 
-    def crossed(offset: Column) -> Column:
-        upto, before = ((F.col("row_no") + k).cast("double") * F.col("_rate") + offset for k in (1, 0))
+    def crossed(rate: str, offset: Column) -> Column:
+        upto, before = ((F.col("row_no") + k).cast("double") * F.col(rate) + offset for k in (1, 0))
         return F.floor(upto) - F.floor(before)
 
-    offsets = [unit_hash(f"{seed}-{k}", F.col("_of")) for k in range(TRIES)]
-    placed = lined.join(goal, F.col("source").eqNullSafe(F.col("_of")))
-    tried = placed.groupBy("_of").agg(F.first("target").alias("_goal"), *[F.sum(crossed(o) * F.col("size")).alias(f"_taken{k}") for k, o in enumerate(offsets)])
-    off_by = [F.struct(F.abs(F.col(f"_taken{k}").cast("double") - F.col("_goal")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(offsets)]
-    chosen = tried.select(F.col("_of").alias("_source"), F.array_min(F.array(*off_by))["offset"].alias("_offset"))
-    goal = goal.join(chosen, F.col("_of").eqNullSafe(F.col("_source")))
-    return lined.join(goal, F.col("source").eqNullSafe(F.col("_of"))).select(*by, "source_size", "target", crossed(F.col("_offset")).alias("copies"))
+    def tried(rows: DataFrame, rate: str) -> DataFrame:
+        """_source and _words: by offset, the words that it takes of some rows of a source."""
+        each = [F.sum(crossed(rate, o) * F.col("size")).alias(f"_{k}") for k, o in enumerate(offsets)]
+        return rows.groupBy("_of").agg(*each).select(F.col("_of").alias("_source"), F.array(*[f"_{k}" for k in range(TRIES)]).alias("_words"))
+
+    def best(*lacks) -> Column:
+        """The offset (place, words) with the least lack, by each function of the words in turn."""
+        ways = [F.struct(*[lack(F.coalesce(F.get("_words", k), F.lit(0)).cast("double")).alias(f"l{i}") for i, lack in enumerate(lacks)], F.lit(k).alias("k"), o.alias("offset"), F.coalesce(F.get("_words", k), F.lit(0)).alias("words")) for k, o in enumerate(offsets)]
+        return F.array_min(F.array(*ways))
+
+    rest = sizes.join(goal, same).groupBy(F.col("_of").alias("_source")).agg(F.sum(F.when(F.col("size") * LARGE <= F.col("_goal"), F.col("size")).otherwise(0)).alias("_rest"))
+    goal = goal.join(rest, F.col("_of").eqNullSafe(F.col("_source"))).drop("_source")
+    goal = cut(goal.withColumn("_rate", F.when(F.col("_all") > 0, F.col("_goal") / F.col("_all")).otherwise(0.0)))
+
+    def filled(words: Column) -> Column:
+        """What the small documents can add to the words of the large ones."""
+        return F.least(F.greatest(F.col("_goal") - words, F.lit(0.0)), F.col("_rest") * float(MOST))
+
+    large = tried(lined.where("_large").join(goal, same), "_rate")
+    first = best(lambda w: F.abs(F.col("_goal") - w - filled(w)), lambda w: F.abs(F.col("_goal") - F.col("_rest") * F.col("_rate") - w))
+    goal = goal.join(large, F.col("_of").eqNullSafe(F.col("_source")), "left").withColumn("_first", first).drop("_source", "_words")
+    goal = cut(goal.withColumn("_second", F.when(F.col("_rest") > 0, filled(F.col("_first.words").cast("double")) / F.col("_rest")).otherwise(0.0)))
+    small = tried(lined.where("NOT _large").join(goal, same), "_second")
+    second = best(lambda w: F.abs(F.col("_goal") - F.col("_first.words") - w))
+    goal = goal.join(small, F.col("_of").eqNullSafe(F.col("_source")), "left").withColumn("_last", second).drop("_source", "_words")
+    taken = F.when(F.col("_large"), crossed("_rate", F.col("_first.offset"))).otherwise(crossed("_second", F.col("_last.offset")))
+    return lined.join(goal, same).select(*by, F.col("_all").alias("source_size"), F.col("_goal").alias("target"), taken.alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:

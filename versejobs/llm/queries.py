@@ -82,13 +82,19 @@ weighed AS (SELECT *, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1)
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / sum(w) OVER (ORDER BY 3 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 goals AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, (SELECT max(level) FROM levels) * w) AS target FROM levels),
-lined AS (SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS i
+lined AS (SELECT s.*, g.source_size, g.target, s.size * 32 > g.target AS large, row_number() OVER (PARTITION BY s.source, s.size * 32 > g.target ORDER BY s.size, s.doc_id) AS i
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
-tried AS (SELECT *, ('0x' || substr(md5('mix-1-' || k || ':' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE AS shift FROM lined, range(8) AS tries(k)),
-taken AS (SELECT *, ((floor(i::DOUBLE * rate + shift) - floor((i - 1)::DOUBLE * rate + shift)) * size)::BIGINT AS taken FROM tried),
-chosen AS (SELECT source, k FROM (SELECT source, k, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM taken GROUP BY source, k) QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
-SELECT doc_id, size, source_size, target, taken FROM taken t JOIN chosen c ON t.source IS NOT DISTINCT FROM c.source AND t.k = c.k
+rates AS (SELECT source, any_value(target) AS target, CASE WHEN any_value(source_size) > 0 THEN any_value(target) / any_value(source_size) ELSE 0 END AS rate, sum(CASE WHEN large THEN 0 ELSE size END)::DOUBLE AS rest FROM lined GROUP BY source),
+shifts AS (SELECT *, ('0x' || substr(md5('mix-1-' || k || ':' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE AS shift FROM rates, range(8) AS tries(k)),
+first_tries AS (SELECT f.source, f.k, f.shift, f.target, f.rate, f.rest, coalesce(sum((floor(i::DOUBLE * rate + shift) - floor((i - 1)::DOUBLE * rate + shift)) * size), 0)::BIGINT AS words
+  FROM shifts f LEFT JOIN lined l ON l.source IS NOT DISTINCT FROM f.source AND l.large GROUP BY ALL),
+filled AS (SELECT *, least(greatest(target - words::DOUBLE, 0), rest * 3) AS more FROM first_tries),
+firsts AS (SELECT *, CASE WHEN rest > 0 THEN more / rest ELSE 0 END AS second_rate FROM filled QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(target - words::DOUBLE - more), abs(target - rest * rate - words::DOUBLE), k) = 1),
+second_tries AS (SELECT h.source, h.k, h.shift, f.target, f.words AS before, coalesce(sum((floor(i::DOUBLE * second_rate + h.shift) - floor((i - 1)::DOUBLE * second_rate + h.shift)) * size), 0)::BIGINT AS words
+  FROM shifts h JOIN firsts f ON h.source IS NOT DISTINCT FROM f.source LEFT JOIN lined l ON l.source IS NOT DISTINCT FROM h.source AND NOT l.large GROUP BY ALL),
+seconds AS (SELECT * FROM second_tries QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(target - before - words::DOUBLE), k) = 1),
+chosen AS (SELECT l.*, CASE WHEN large THEN f.rate ELSE f.second_rate END AS r, CASE WHEN large THEN f.shift ELSE s.shift END AS u FROM lined l JOIN firsts f ON l.source IS NOT DISTINCT FROM f.source JOIN seconds s ON l.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size, source_size, target, ((floor(i::DOUBLE * r + u) - floor((i - 1)::DOUBLE * r + u)) * size)::BIGINT AS taken FROM chosen
 """
 
 #: Chunks by the rolling hash, and all shortest runs of lines with 51 words or more by the number of words before each line.
