@@ -1,7 +1,7 @@
 """License scans by diagonal voting.
 
 Every two neighbouring words of a document are hashed and joined with the places of the same two words in the templates;
-the words themselves are then compared. Each hit votes for a diagonal, the document's word minus the template's. Diagonals
+the words themselves are then compared, for notices with the word behind them, which leaves few chance hits. Each hit votes for a diagonal, the document's word minus the template's. Diagonals
 of a template that lie next to each other are merged into spans, which bridge left out or added words. A span holds if it
 covers enough of its template's pairs and is not much longer than the template.
 
@@ -18,12 +18,12 @@ from .common import cut
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of a hashed gram.
-K = 2
+#: Words of a hashed gram; words that a hit on a notice takes.
+K, NOTICE_K = 2, 3
 #: Diagonals up to so far apart belong to one span.
 NEAR = 3
 #: Least share of a template's grams in a span, and most of its length that a span may have.
-COVER, STRETCH = 0.85, 1.5
+COVER, STRETCH = 0.8, 1.5
 #: Phrases that count wherever their words stand consecutively.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Notices of public licenses.
@@ -50,11 +50,11 @@ def template_grams(spark, base=BASE, notices=NOTICES) -> DataFrame:
     """template, label, is_base, n_grams, at and the gram's words, for each place in each template; and a row that every document meets."""
     rows = []
     for k, (text, label) in enumerate([*base, *notices]):
-        words = text.split()
-        grams = list(zip(words, words[1:], strict=False))
-        rows += [(k, label, k < len(base), len(grams), i, a, b) for i, (a, b) in enumerate(grams)]
-    found = spark.createDataFrame(rows, "template int, label string, is_base boolean, n_grams int, at int, w1 string, w2 string")
-    every = spark.createDataFrame([(-1, None, False, 0, 0, None, None)], found.schema)
+        words, size = text.split(), K if k < len(base) else NOTICE_K
+        grams = [words[i : i + size] for i in range(len(words) - size + 1)]
+        rows += [(k, label, k < len(base), len(grams), i, a, b, c[0] if c else None) for i, (a, b, *c) in enumerate(grams)]
+    found = spark.createDataFrame(rows, "template int, label string, is_base boolean, n_grams int, at int, w1 string, w2 string, w3 string")
+    every = spark.createDataFrame([(-1, None, False, 0, 0, None, None, None)], found.schema)
     return found.withColumn("gram", F.xxhash64("w1", "w2")).unionByName(every.withColumn("gram", F.lit(0).cast("long")))
 
 
@@ -68,7 +68,7 @@ def hits(docs: DataFrame, templates: DataFrame) -> DataFrame:
     placed = worded.select("*", F.posexplode(grams).alias("pos", "_gram"))
     # The templates are a fixed list of this module, a few hundred rows.
     met = placed.join(F.broadcast(templates), F.col("_gram") == F.col("gram"))
-    alike = (F.get("_words", F.col("pos")) == F.col("w1")) & (F.get("_words", F.col("pos") + 1) == F.col("w2"))
+    alike = (F.get("_words", F.col("pos")) == F.col("w1")) & (F.get("_words", F.col("pos") + 1) == F.col("w2")) & (F.col("w3").isNull() | (F.get("_words", F.col("pos") + 2) == F.col("w3")))
     ending = F.col("pos") == F.greatest(F.col("n_words") - K + 1, F.lit(0))
     met = met.where(F.when(F.col("template") < 0, ending).otherwise(alike))
     return met.select("doc_id", "_h", "n_words", "template", "label", "is_base", "n_grams", "at", F.col("pos").cast("long").alias("pos"))
@@ -88,8 +88,8 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
     by = Window.partitionBy(*one).orderBy("_from", "diagonal")
     jump = (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) > NEAR) | (F.col("_from") - F.lag("_to").over(by) > F.col("n_grams"))
     spans = lines.where("NOT is_base").withColumn("_span", F.sum(F.coalesce(jump, F.lit(True)).cast("int")).over(by))
-    spans = spans.groupBy(*one, "_span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_at")))).alias("_n"), F.min("_from").alias("_start"), (F.max("_to") + K - 1).alias("_end"))
-    held = spans.withColumn("_score", F.col("_n") / F.col("n_grams")).where((F.col("_score") >= COVER) & (F.col("_end") - F.col("_start") + 1 <= STRETCH * (F.col("n_grams") + 1)))
+    spans = spans.groupBy(*one, "_span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_at")))).alias("_n"), F.min("_from").alias("_start"), (F.max("_to") + NOTICE_K - 1).alias("_end"))
+    held = spans.withColumn("_score", F.col("_n") / F.col("n_grams")).where((F.col("_score") >= COVER) & (F.col("_end") - F.col("_start") + 1 <= STRETCH * (F.col("n_grams") + NOTICE_K - 1)))
     both = whole.unionByName(held.select(*doc, "label", F.lit(False).alias("_base"), "_score", "_start", "_end"))
 
     def joined(labels):
