@@ -35,7 +35,7 @@ N = 5
 MAP_BITS = 1 << 27
 #: A shingle is frequent from 2**LEAST_CLASS sets on, or from more, so that the list has at most FREQUENT entries.
 LEAST_CLASS, FREQUENT = 4, 2_000_000
-#: Most sets in a part of a group on average, queries of a leader in one part of its star.
+#: Most sets in a part of a group on average, queries of one copy of a part.
 PART, STAR = 64, 512
 #: Texts hashed side by side, shingles counted at a time in a task.
 SLICE, FLUSH = 200, 4_000_000
@@ -246,13 +246,13 @@ class Part:
 
 
 def opened(groups: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links (a, b) of queries with members of the part of the same name; both are part, key, root (what it is connected with), members."""
+    """Links (a, b) of queries with members of the part of the same name and salt; both are part, salt, key, root (what it is connected with), members."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, held, part = None, [], None
         for batch in batches:
             rows = []
-            for at, query, key, root, members in zip(zip(batch.g, batch.pure, batch["sub"], strict=True), batch["query"], batch.key, batch.root, batch.members, strict=True):
+            for at, query, key, root, members in zip(zip(batch.g, batch.pure, batch["sub"], batch.salt, strict=True), batch["query"], batch.key, batch.root, batch.members, strict=True):
                 if at != name:
                     name, held, part = at, [], None
                 s = np.frombuffer(members, np.uint64)
@@ -265,9 +265,10 @@ def opened(groups: DataFrame, queries: DataFrame) -> DataFrame:
                     rows += part.links(key, root, s)
             yield pd.DataFrame(rows, columns=["a", "b"], dtype=object)
 
-    cols = ["part.*", "query", "key", "root", "members"]
+    cols = ["part.*", "salt", "query", "key", "root", "members"]
     both = groups.withColumn("query", F.lit(0)).select(*cols).unionByName(queries.withColumn("query", F.lit(1)).select(*cols))
-    return both.repartition(partitions(both.sparkSession), "g", "pure", "sub").sortWithinPartitions("g", "pure", "sub", "query", "key").mapInPandas(run, "a binary, b binary")
+    by = ["g", "pure", "sub", "salt"]
+    return both.repartition(partitions(both.sparkSession), *by).sortWithinPartitions(*by, "query", "key").mapInPandas(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -305,7 +306,7 @@ def join(docs: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
     queries = star.join(parts, "leader").select(named("leader", False, salt), "key", F.col("key").alias("root")).join(members, "key")
     heads = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     heads = heads.select(named("leader", False, F.col("salt")), F.col("leader").alias("key"), F.col("leader").alias("root")).join(members, "key")
-    first = components(opened(heads, queries)).withColumnRenamed("root", "_root")
+    first = components(opened(heads.withColumn("salt", F.lit(0)), queries.withColumn("salt", F.lit(0)))).withColumnRenamed("root", "_root")
 
     # Groups in parts.
     grouped = sets.select("key", "n").join(first, F.col("key") == F.col("node"), "left").join(star, "key", "left")
@@ -327,8 +328,13 @@ def join(docs: DataFrame, map_bits: int = MAP_BITS) -> DataFrame:
     own = grouped.where("NOT part.pure").groupBy("part").count().where(F.col("count") > 1).select(F.col("part").alias("p"), F.col("part").alias("q"))
     meet = cut(meet.unionByName(own))
     rows = cut(grouped.select("part", "key", "root").join(members, "key"))
-    matrix = rows.join(meet.select(F.col("p").alias("part")).distinct(), "part")
+    # A part that many sets meet stands in several copies, so its queries spread over as many tasks.
+    held = grouped.groupBy(F.col("part").alias("q")).agg(F.count("*").alias("sets"))
+    copies = meet.join(held, "q").groupBy(F.col("p").alias("part")).agg(F.ceil(F.sum("sets") / STAR).cast("int").alias("copies"))
+    copies = cut(copies)
+    matrix = rows.join(copies, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     asked = meet.join(rows.withColumnRenamed("part", "q"), "q").select(F.col("p").alias("part"), "key", "root", "members")
+    asked = asked.join(copies, "part").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("copies")).cast("int"))
     more = opened(matrix, asked)
     owner = grouped.select(F.col("key").alias("_k"), F.col("root").alias("g"))
     edges = more.join(owner, F.col("a") == F.col("_k")).select(F.col("g").alias("a"), "b").join(owner, F.col("b") == F.col("_k")).select("a", F.col("g").alias("b"))
