@@ -4,9 +4,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, images, jaccard, licenses, line_dedup, mixing, quality, token_files, toxicity
+from ..sources.shared import new_folder
+from . import ann, bpe, divergence, images, jaccard, lexical, licenses, line_dedup, mixing, pieces, quality, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +63,20 @@ def op10_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.groups(images.mosaics(read(spark, sf_dir, "embeddings")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    lexical.write(read(spark, sf_dir, "documents"), folder)
+    return lexical.search(spark, folder, read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
@@ -72,6 +88,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_images": op10_images,
+    "op11_divergence": op11_divergence,
+    "op12_pieces": op12_pieces,
+    "op13_lexical": op13_lexical,
 }
 
 #: The level is the greatest of those found with the sources of the smallest bounds, for their weight, held at their bounds.
@@ -119,7 +138,42 @@ SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lost),
 FROM lined l LEFT JOIN gone g ON l.doc_id = g.doc_id
 """
 
+#: Every kept term stands beside every group of its language.
+OP11_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+terms AS (SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+vocabulary AS (SELECT lang, count(*) AS v, sum(n) AS size FROM kept GROUP BY lang),
+found AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+held AS (SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n, k.n AS lang_n FROM groups g JOIN kept k USING (lang) LEFT JOIN found f USING (lang, source, term)),
+sizes AS (SELECT lang, source, sum(n) AS size FROM held GROUP BY ALL),
+shares AS (SELECT h.*, 1 + (1000000000::HUGEINT * (h.n + 5)) // (s.size + 5 * w.v) AS p, 1 + (1000000000::HUGEINT * (h.lang_n + 5)) // (w.size + 5 * w.v) AS q
+  FROM held h JOIN sizes s USING (lang, source) JOIN vocabulary w USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+above AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM above))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+OP13_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS i, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+sizes AS (SELECT i, count(*) AS n FROM docs GROUP BY i),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+postings AS (SELECT i, doc_id, term, count(*) AS tf FROM docs WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, whole GROUP BY term, docs),
+scores AS (SELECT item_id, i, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (i), whole GROUP BY item_id, i, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES = {
     "op2_mixing": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op11_divergence": OP11_SQL,
+    "op13_lexical": OP13_SQL,
 }
