@@ -1,9 +1,12 @@
 """Registered queries against their SQL at the smallest scale, and the readers."""
 
+import math
 import os
+import random
 
 import pytest
 
+from versejobs.operators import metrics
 from versejobs.plans import catalog
 from versejobs.sources import io
 
@@ -15,7 +18,7 @@ def rows_of(found):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["songs_csv", "stored_sample_count", "first_pronunciations", "syllable_scores", "spoken_codes", "exact_split", "trainer_states_json", "word_codes", "line_codes_lexicon", "song_density_lexicon", "clean_lines", "line_chunks", "hangul_codes", "letter_codes", "loanwords", "line_ends", "song_density", "top_artists", "split_samples", "top_prompts", "verse_rewards", "loanword_candidates", "override_coverage", "loss_curves", "experiment_keys"])
+@pytest.mark.parametrize("name", ["songs_csv", "songs_csv_split", "malformed_samples", "song_analysis", "score_spread", "reward_spread", "verse_rewards_stream", "plain_word_candidates", "stored_sample_count", "first_pronunciations", "syllable_scores", "spoken_codes", "exact_split", "trainer_states_json", "word_codes", "line_codes_lexicon", "song_density_lexicon", "clean_lines", "line_chunks", "hangul_codes", "letter_codes", "loanwords", "line_ends", "song_density", "top_artists", "split_samples", "top_prompts", "verse_rewards", "loanword_candidates", "override_coverage", "loss_curves", "experiment_keys"])
 def test_query(spark, name):
     import duckdb
 
@@ -87,11 +90,89 @@ def test_lexicon(spark, tmp_path):
 
 
 def test_trainer_states(spark, tmp_path):
+    """Entries as they are typed: texts, truth values, numbers with a point, nulls, nested and other values are no points."""
     folder = tmp_path / "grpo" / "checkpoint-50"
     folder.mkdir(parents=True)
-    (folder / "trainer_state.json").write_text('{"log_history": [\n{"step": 1, "loss": 0.5}, {"step": 2}]}')
-    row = io.read_trainer_states(spark, str(tmp_path / "*" / "checkpoint-*" / "trainer_state.json")).first()
-    assert row.stage == "grpo" and [(x.step, x.loss) for x in row.log_history] == [("1", "0.5"), ("2", None)]
+    entries = '{"step": 1, "loss": 0.5}, {"step": 2}, {"step": 3.0, "loss": 1}, {"step": 4, "loss": 1e-7}, {"step": 1e3, "loss": 2}, {"step": "6", "loss": 3}, {"step": 7, "loss": "2.5"}'
+    entries += ', {"step": true, "loss": 2}, {"step": 8, "loss": true}, 5, null, [1], {"step": 9, "loss": 7, "more": {"step": 1}}, {"step": 10, "loss": [1]}, {"step": null, "loss": 1}, {"step": {"a": 1}, "loss": 1}, {"step": 5, "loss": NaN}'
+    (folder / "trainer_state.json").write_text('{"best": null, "log_history": [\n' + entries + "]}")
+    states = io.read_trainer_states(spark, str(tmp_path / "*" / "checkpoint-*" / "trainer_state.json"))
+    found = {r.step: r.loss for r in metrics.loss_points(states).where("stage = 'grpo'").collect()}
+    assert {k: v for k, v in found.items() if k != 5} == {1: 0.5, 4: 1e-7, 9: 7.0} and math.isnan(found[5])
+    other = tmp_path / "sft" / "checkpoint-1"
+    other.mkdir(parents=True)
+    (other / "trainer_state.json").write_text('{"best": 1}')
+    assert metrics.loss_points(io.read_trainer_states(spark, str(other / "*.json"))).count() == 0
+    (other / "trainer_state.json").write_text('{"log_history": [{"step"')
+    with pytest.raises(Exception, match="(?i)malformed|corrupt|parse"):
+        metrics.loss_points(io.read_trainer_states(spark, str(other / "*.json"))).collect()
+
+
+def test_samples_that_are_malformed(spark, tmp_path):
+    lines = ['{"text": "a\\n강"}', "", '{"text": "b"', '{"text": 5}', "[1]", '{"other": 1}', '{"text": null, "x": 1}', "plain"]
+    (tmp_path / "s.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    with pytest.raises(Exception, match="not a sample"):
+        io.read_samples(spark, str(tmp_path / "s.jsonl")).collect()
+    good, bad = io.read_samples_apart(spark, str(tmp_path / "s.jsonl"))
+    assert [r.text for r in good.collect()] == ["a\n강", None, None] and [r.value for r in bad.collect()] == [lines[2], lines[3], lines[4], lines[7]]
+    assert bad.first().file.endswith("s.jsonl") and io.count_samples(spark, str(tmp_path / "s.jsonl")).first().samples == 8
+    (tmp_path / "s.jsonl").write_text('{"text": "a"}\n\n{"text": "b"}\n{"text": "c"}')
+    assert io.count_samples(spark, str(tmp_path / "s.jsonl")).first().samples == 4
+
+
+def test_songs_without_numbers(spark, tmp_path):
+    songs = spark.createDataFrame([(1, "a", float("nan"), None), (2, "NaN so", 0.5, float("nan"))], "song_id long, title string, bpm double, energy float")
+    io.write_songs(songs.coalesce(1), str(tmp_path / "out"))
+    raw = next((tmp_path / "out").glob("part-*")).read_text(encoding="utf-8-sig").splitlines()
+    assert raw == ["song_id,title,bpm,energy", "1,a,,", "2,NaN so,0.5,"]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_split_song_csv(spark, tmp_path, small_blocks, end):
+    """Files with a byte order mark, quoted breaks and doubled quotes, read by blocks of 300 bytes, against Spark's reader."""
+    rng = random.Random(3)
+    texts = ["", "plain", " padded ", "a,b", "line" + end + "break", 'say ""hi""', "\n\n", '""', "x" * 700 + "\n" * 5 + "y" * 700, "é강", "tail\n", "NA", '""\n""']
+    for k in range(2):
+        rows = [[rng.choice(texts) for _ in range(3)] + [str(rng.random())] * 5 for _ in range(60)]
+        body = end.join(",".join(f'"{x}"' if any(c in x for c in ',\n\r"') else x for x in r) for r in rows)
+        (tmp_path / f"{k}.csv").write_text("\ufeff" + HEADER + end + body + (end if k else ""), encoding="utf-8", newline="")
+    lines = io.read_songs(spark, str(tmp_path), split=True)
+    assert lines.rdd.getNumPartitions() > 20
+    got, want = (sorted(map(repr, map(tuple, x.collect()))) for x in (lines, io.read_songs(spark, str(tmp_path))))
+    assert got == want and len(got) == 120
+
+
+def test_split_csv_of_one_column_and_odd_files(spark, tmp_path, small_blocks):
+    (tmp_path / "a.csv").write_text('lyrics\n"one\n' + "more\n" * 300 + '"\ntwo\n\nthree')
+    got = sorted(r.lyrics for r in io.read_songs(spark, str(tmp_path / "a.csv"), needed=("lyrics",), split=True).collect())
+    assert got == sorted(["one\n" + "more\n" * 300, "two", "three"])
+    (tmp_path / "b.csv").write_text('lyrics,artist\n7" single,x\n')
+    with pytest.raises(Exception, match="a quote inside a field"):
+        io.read_songs(spark, str(tmp_path / "b.csv"), needed=(), split=True).collect()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1.csv").write_text("lyrics,artist\na,b\n")
+    (tmp_path / "d" / "2.csv").write_text("artist,lyrics\na,b\n")
+    with pytest.raises(Exception, match="other columns"):
+        io.read_songs(spark, str(tmp_path / "d"), needed=(), split=True).collect()
+    assert [tuple(r) for r in io.read_songs(spark, str(tmp_path / "d" / "1.csv"), needed=("lyrics",), split=True).select("lyrics", "artist").collect()] == [("a", "b")]
+
+
+def test_split_csv_by_join(spark, tmp_path, small_blocks):
+    """Where too many blocks begin within quotes to name them to all tasks."""
+    from versejobs.sources import records
+
+    (tmp_path / "a.csv").write_text("lyrics\n" + "\n".join(f'"{k}\n{"z" * 400}\n"' for k in range(20)))
+    few, none = (sorted(r.record for r in records.records(spark, str(tmp_path / "a.csv"), most).collect()) for most in (1000, 0))
+    assert few == none and len(few) == 21
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")

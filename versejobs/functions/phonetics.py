@@ -1,17 +1,21 @@
 """Syllables of Hangul and English text as expressions inside one row, as integer codes (see tables)."""
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from . import tables as T
 from .text import tokens
 
 CODES = "array<int>"
-#: Words at a line's end that are looked at first.
-NEAR = 6
+#: Words at a line's end that are looked at first: inside the row, and by join.
+NEAR, NEAR_JOINED = 6, 4
+#: Most bytes, by the plan's statistics, and most words of a lexicon that goes into rows as a whole.
+SMALL_BYTES, SMALL_WORDS = 4 << 20, 20_000
 
 
 def constants(values: list) -> Column:
@@ -81,7 +85,7 @@ def with_syllables(lexicon: DataFrame, phones: str = "phones") -> DataFrame:
         lead = F.when(p["first"], F.get(p["before"], 0)).otherwise(F.get(p["before"], F.size(p["before"]) - 1))
         coda = F.when((n >= 2) | (p["last"] & (n >= 1)), F.element_at(codas, F.get(p["after"], 0)))
         main = F.struct(F.element_at(onsets, lead).alias("o"), vowel.alias("v"), F.coalesce(coda, F.lit(0)).alias("c"))
-        rest = F.filter(F.slice(p["after"], 2, 99), lambda c: p["last"] & F.element_at(onsets, c).isNotNull())
+        rest = F.filter(F.slice(p["after"], 2, F.size(p["after"])), lambda c: p["last"] & F.element_at(onsets, c).isNotNull())
         added = F.transform(rest, lambda c: F.struct(F.element_at(onsets, c).alias("o"), F.when(c.isin(*T.FRONT_PHONES), T.VOWELS.index("ㅣ")).otherwise(T.VOWELS.index("ㅡ")).alias("v"), F.lit(0).alias("c")))
         return F.concat(F.array(main), added)
 
@@ -110,15 +114,23 @@ def is_hangul(token: Column) -> Column:
     return token >= "가"
 
 
-def english_codes(word: Column) -> Column:
-    """Codes of an English word without a lexicon. A map is searched from end to end, a set is hashed."""
-    low = F.lower(word)
+def given_codes(low: Column) -> Column:
+    """Codes of a lower-case English word that is a stopword or has a given spelling, else null.
+
+    A map is searched from end to end, a set is hashed.
+    """
     given = F.create_map(*[x for w, c in T.OVERRIDE_CODES.items() for x in (F.lit(w), constants(c))])
-    return F.when(low.isin(*T.STOPWORDS), none()).when(low.isin(*T.OVERRIDES), F.element_at(given, low)).otherwise(fallback_codes(low))
+    return F.when(low.isin(*T.STOPWORDS), none()).when(low.isin(*T.OVERRIDES), F.element_at(given, low))
+
+
+def english_codes(word: Column, known: Callable[[Column], Column] | None = None) -> Column:
+    """Codes of an English word; `known` gives those that a lexicon has for a lower-case word, else null."""
+    low = F.lower(word)
+    return F.coalesce(given_codes(low), *([known(low)] if known else []), fallback_codes(low))
 
 
-def token_codes(token: Column) -> Column:
-    return F.when(is_hangul(token), hangul_codes(token)).otherwise(english_codes(token))
+def token_codes(token: Column, known: Callable[[Column], Column] | None = None) -> Column:
+    return F.when(is_hangul(token), hangul_codes(token)).otherwise(english_codes(token, known))
 
 
 def bears_sound(token: Column) -> Column:
@@ -129,19 +141,20 @@ def bears_sound(token: Column) -> Column:
 
 def line_codes(line: Column) -> Column:
     """Codes of a whole line, without a lexicon."""
-    return F.flatten(F.transform(tokens(line), token_codes))
+    return F.flatten(F.transform(tokens(line), lambda t: token_codes(t)))
 
 
-def last_codes(line: Column) -> Column:
-    """The last three codes of a line, the last one first.
+def last_codes(line: Column, known: Callable[[Column], Column] | None = None) -> Column:
+    """The last three codes of a line, the last one first; `known` as in english_codes().
 
-    Only three tokens with sounds are looked at, among those behind the NEAR-th last blank, where no token is cut; the
+    Only tokens with sounds are looked at, among those behind the NEAR-th last blank, where no token is cut; the
     whole line is searched only if these give too few codes.
     """
 
     def among(part: Column) -> Column:
-        three = F.slice(F.reverse(F.filter(tokens(part), bears_sound)), 1, 3)
-        return F.slice(F.flatten(F.transform(three, lambda t: F.reverse(token_codes(t)))), 1, 3)
+        # What bears a sound in a lexicon shows only when it is looked up.
+        some = F.reverse(tokens(part)) if known else F.slice(F.reverse(F.filter(tokens(part), bears_sound)), 1, 3)
+        return F.slice(F.flatten(F.transform(some, lambda t: F.reverse(token_codes(t, known)))), 1, 3)
 
     near = F.substring_index(line, " ", -NEAR)
     # A function over one element, so that what it names is worked out once.
@@ -149,6 +162,37 @@ def last_codes(line: Column) -> Column:
     return F.get(found, 0)
 
 
+def lexicon_codes(lexicon: DataFrame) -> DataFrame:
+    """word (lower case), known: codes of the loanword, else the simple ones. Of several rows of a word the least counts."""
+    codes = F.coalesce(F.when(F.col("loanword").isNotNull(), F.col("codes")), F.col("simple_codes"))
+    return with_syllables(lexicon).where("word IS NOT NULL").groupBy(F.lower("word").alias("word")).agg(F.min(codes).alias("known"))
+
+
+def in_rows(lexicon: DataFrame, most_bytes: int = SMALL_BYTES, most_words: int = SMALL_WORDS) -> Callable[[Column], Column] | None:
+    """A lookup of lower-case words in a lexicon small enough to be a constant of the plan, or None for any other.
+
+    The plan's statistics are asked first, so a large lexicon is never read for that; then the words are counted as they come.
+    The constant is an array of buckets by the words' hash, so a lookup compares about one word, whatever the size.
+    """
+    if int(str(lexicon._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most_bytes:
+        return None
+    n = lexicon.limit(most_words + 1).count()
+    if n > most_words:
+        return None
+    buckets = max(1, n)
+    rows = lexicon_codes(lexicon).select(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("b"), "word", "known").collect()  # most_words at most
+    held: list = [[] for _ in range(buckets)]
+    for r in rows:
+        held[r.b].append({"w": r.word, "c": list(r.known)})
+    table = F.from_json(F.lit(json.dumps(held)), f"array<array<struct<w:string,c:{CODES}>>>")
+
+    def known(low: Column) -> Column:
+        own = F.get(table, F.pmod(F.xxhash64(low), F.lit(buckets)).cast("int"))
+        return F.get(F.filter(own, lambda x: x["w"] == low), 0)["c"]
+
+    return known
+
+
 def overrides(spark: SparkSession) -> DataFrame:
     """word, hangul, override_codes of the fixed spellings."""
     return spark.createDataFrame([(w, T.OVERRIDES[w], c) for w, c in T.OVERRIDE_CODES.items()], f"word string, hangul string, override_codes {CODES}")
@@ -158,42 +202,102 @@ def stopwords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w,) for w in T.STOPWORDS], "word string")
 
 
-def spoken(say: Callable[[str], str | None]) -> Callable:
-    """P10: an Arrow UDF from a word's spelling to how it is spoken; null where `say` gives none or fails, so the spelling holds."""
+#: Pronouncing functions of this Python worker, by name.
+STARTED: dict[str, Callable[[str], str | None]] = {}
+
+
+def started(name: str, start: Callable[[], Callable]) -> Callable[[str], str | None]:
+    if name not in STARTED:
+        STARTED[name] = start()
+    return STARTED[name]
+
+
+def spoken(start: Callable[[], Callable[[str], str | None]], name: str | None = None) -> Callable[[Column | str], Column]:
+    """P10: an Arrow UDF from a word's spelling to a struct: said, how it is spoken, and failed, whether the function raised an error.
 
-    def one(word: str | None) -> str | None:
-        try:
-            return None if word is None else say(word)
-        except Exception:  # whatever a pronouncing library raises for a word
-            return None
+    `start` makes the pronouncing function, such as a model; it is called once in each Python worker, not for each batch or
+    task. said is null where the function gives none or fails, so the spelling holds. Functions go by `name`.
+    """
+    name = name or f"{start.__module__}.{start.__qualname__}"
+
+    @F.pandas_udf("said string, failed boolean")
+    def say(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one = started(name, start)
+        for words in batches:
+            rows = []
+            for w in words:
+                try:
+                    rows.append((None if w is None else one(w), False))
+                except Exception:  # whatever a pronouncing library raises for a word
+                    rows.append((None, True))
+            yield pd.DataFrame(rows, columns=["said", "failed"], dtype=object)
 
-    return F.pandas_udf(lambda words: pd.Series([one(w) for w in words], dtype=object), "string")
+    return say
 
 
-def resolve_words(words: DataFrame, lexicon: DataFrame | None = None, g2p=None) -> DataFrame:
+def resolve_words(words: DataFrame, lexicon: DataFrame | None = None, g2p=None, asked: Observation | None = None) -> DataFrame:
     """Token, codes for each distinct token of words (token).
 
     An English token is a stopword, else has a given spelling, else the lexicon's pronunciation, else goes by its letters.
-    g2p, an Arrow UDF from spelling to spoken spelling, is called for Hangul tokens, once for each. The fixed lists are
-    small; the lexicon joins by whatever way its size calls for.
+    g2p, made by spoken(), is called for Hangul tokens, once for each; `asked` then observes how many `words` it was asked and
+    how many `failed`. Pronunciations are made codes only for words that occur; the lexicon joins by whatever way its size
+    calls for.
     """
     one = words.select("token").where("token IS NOT NULL").distinct()
     hangul = one.where(is_hangul(F.col("token")))
     if g2p is not None:
-        hangul = hangul.repartition("token").select("token", hangul_codes(F.coalesce(g2p("token"), F.col("token"))).alias("codes"))
+        hangul = hangul.repartition("token").withColumn("_g2p", g2p("token"))
+        if asked is not None:
+            hangul = hangul.observe(asked, F.count(F.lit(1)).alias("words"), F.coalesce(F.count_if("_g2p.failed"), F.lit(0)).alias("failed"))
+        hangul = hangul.select("token", hangul_codes(F.coalesce("_g2p.said", "token")).alias("codes"))
     else:
         hangul = hangul.select("token", hangul_codes(F.col("token")).alias("codes"))
-    spark = words.sparkSession
     english = one.where(~is_hangul(F.col("token"))).withColumn("low", F.lower("token"))
-    english = english.join(F.broadcast(overrides(spark)), F.col("low") == F.col("word"), "left").drop("word", "hangul")
     known = F.lit(None).cast(CODES)
     if lexicon is not None:
-        spoken = with_syllables(lexicon).select(F.lower("word").alias("_word"), F.coalesce(F.when(F.col("loanword").isNotNull(), F.col("codes")), F.col("simple_codes")).alias("known"))
+        missing = english.where(given_codes(F.col("low")).isNull()).select(F.col("low").alias("_word")).distinct()
+        occurring = lexicon.join(missing, F.lower("word") == F.col("_word"), "left_semi")
+        spoken = lexicon_codes(occurring).withColumnRenamed("word", "_word")
         english, known = english.join(spoken, F.col("low") == F.col("_word"), "left"), F.col("known")
-    codes = F.when(F.col("low").isin(*T.STOPWORDS), none()).otherwise(F.coalesce("override_codes", known, fallback_codes(F.col("low"))))
+    codes = F.coalesce(given_codes(F.col("low")), known, fallback_codes(F.col("low")))
     return hangul.unionByName(english.select("token", codes.alias("codes")))
 
 
+def line_tails_by_words(lines: DataFrame, keys: list[str], lexicon: DataFrame | None = None, g2p=None, line: str = "line", near: int = NEAR_JOINED) -> DataFrame:
+    """Keys, tail: the last three codes of each line that has any, the last one first, from resolved words.
+
+    Stopwords have no codes in any dictionary, so they don't leave the row. Of the other tokens the last `near` go to the
+    join; only lines with further tokens whose codes are still fewer than three take part in the next round, with three
+    times as many. No exchange holds more of a line than one round's tokens.
+    """
+    parts = lines.select(*keys, F.reverse(F.filter(tokens(F.col(line)), lambda t: ~F.lower(t).isin(*T.STOPWORDS))).alias("_tokens"))
+    done, size, short, found = 0, near, None, None
+    while True:
+        rows = parts.select(*keys, F.slice("_tokens", done + 1, size).alias("_near"), (F.size("_tokens") > done + size).alias("_more")).where(F.size("_near") > 0)
+        if short is not None:
+            rows = rows.join(short.select(*keys), keys, "left_semi")
+        each = rows.select(*keys, "_more", F.posexplode("_near").alias("_pos", "token"))
+        own = given_codes(F.lower("token"))
+        if g2p is None:
+            own = F.when(is_hangul(F.col("token")), hangul_codes(F.col("token"))).otherwise(own)
+        each = each.withColumn("_own", own)
+        words = resolve_words(each.where("_own IS NULL").select("token"), lexicon, g2p).select(F.col("token").alias("_token"), F.col("codes").alias("_found"))
+        each = each.join(words, F.col("token") == F.col("_token"), "left").select(*keys, "_more", F.struct("_pos", F.reverse(F.coalesce("_own", "_found")).alias("c")).alias("_x"))
+        tail = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["c"])), 1, 3)
+        got = each.groupBy(*keys).agg(tail.alias("tail"), F.bool_or("_more").alias("_more"))
+        if short is not None:
+            before = short.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("tail").alias("_before"))
+            same = [F.col(k) == F.col(f"_{k}") for k in keys]
+            got = got.join(before, same).select(*keys, F.slice(F.concat("_before", "tail"), 1, 3).alias("tail"), "_more")
+        got = kept(got)
+        open_ones = got.where((F.size("tail") < 3) & F.col("_more"))
+        closed = got.where((F.size("tail") == 3) | ~F.col("_more")).select(*keys, "tail")
+        found = closed if found is None else found.unionByName(closed)
+        if open_ones.isEmpty():
+            return found
+        done, size, short = done + size, 3 * size, open_ones
+
+
 def line_codes_by_words(lines: DataFrame, word_codes: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """P11 by join: keys and codes of each line, from resolved words."""
     parts = lines.select(*keys, F.posexplode(tokens(F.col(line))).alias("pos", "token")).join(word_codes, "token")

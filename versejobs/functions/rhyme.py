@@ -3,6 +3,8 @@
 Syllables score in hundredths; lines and songs in ten-thousandths.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,5 +43,6 @@ def mean_score(scores: Column) -> Column:
     return F.when(n > 0, F.floor((total * 2 + n) / (n * 2))).otherwise(0).cast("long")
 
 
-def tails(lines: Column) -> Column:
-    return F.transform(lines, last_codes)
+def tails(lines: Column, known: Callable[[Column], Column] | None = None) -> Column:
+    """The last codes of each line; `known` as in last_codes()."""
+    return F.transform(lines, lambda x: last_codes(x, known))

@@ -6,16 +6,33 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions.phonetics import overrides
 
-#: Words of any script, the English ones with apostrophes inside and with all that follows up to the line's end where no word does.
-MINED = "[가-힣]+|[a-z]+(?:'[a-z]+)*(?:[^a-z가-힣\\n]*+\\n)?"
-
-
-def word_counts(songs: DataFrame) -> DataFrame:
-    """word, total_count, line_end_count of each English word but stopwords. A task folds its own words before the exchange."""
-    words = F.regexp_extract_all(F.lower(F.concat("lyrics", F.lit("\n"))), F.lit(MINED), F.lit(0))
-    each = songs.select(F.explode(words).alias("found")).where("found < '가'")
+#: An English word in lower-case text, with apostrophes inside.
+WORD = "[a-z]+(?:'[a-z]+)*"
+HANGUL = "[가-힣]+"
+#: What may stand between a word and the end of its line for it to be a line end: no other token, no other English word, white space.
+ENDS = ("token", "word", "bare")
+
+
+def behind(word: str, ends: str) -> str:
+    """A pattern for what stands behind a word up to the end of its line."""
+    if ends == "bare":
+        return r"[^\S\n]*+\n"
+    if word == WORD:  # the same, faster: any letter begins a word
+        return r"[^a-z가-힣\n]*+\n" if ends == "token" else r"[^a-z\n]*+\n"
+    return rf"(?:(?!{word}|{HANGUL})[^\n])*+\n" if ends == "token" else rf"(?:(?!{word})[^\n])*+\n"
+
+
+def word_counts(songs: DataFrame, word: str = WORD, ends: str = "token") -> DataFrame:
+    """word, total_count, line_end_count of each English word but stopwords. A task folds its own words before the exchange.
+
+    `word` is a pattern over lower-case text that takes in no line break; `ends`, one of ENDS, says which words end a line.
+    """
+    if ends not in ENDS:
+        raise ValueError(f"ends must be one of {ENDS}, not {ends}")
+    found = F.regexp_extract_all(F.lower(F.concat("lyrics", F.lit("\n"))), F.lit(f"(?U){HANGUL}|(?:{word})(?:{behind(word, ends)})?"), F.lit(0))
+    each = songs.select(F.explode(found).alias("found")).where("found < '가'")
     last = F.endswith("found", F.lit("\n"))
-    each = each.select(F.when(last, F.regexp_extract("found", "^[a-z']*[a-z]", 0)).otherwise(F.col("found")).alias("word"), last.cast("int").alias("last"))
+    each = each.select(F.when(last, F.regexp_extract("found", f"^(?:{word})", 0)).otherwise(F.col("found")).alias("word"), last.cast("int").alias("last"))
     counts = each.groupBy("word").agg(F.count("*").alias("total_count"), F.sum("last").alias("line_end_count"))
     return counts.where(~F.col("word").isin(*T.STOPWORDS))
 

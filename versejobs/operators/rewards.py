@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rhyme, text
+from ..functions import moments, rhyme, text
 
 # The mark of a verse's end and how a prompt names its number of bars.
 END, BARS = "[End]", r"(?U)\[Verse\s+(\d+)\s*마디\]"
@@ -47,6 +47,9 @@ def rewards(rows: DataFrame) -> DataFrame:
 
 
 def reward_stats(scored: DataFrame, by: tuple = ()) -> DataFrame:
-    """Mean, sample deviation, least and greatest reward of each run, and whether they tell a model little or punish too much."""
-    stats = scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg("reward").alias("mean"), F.stddev_samp("reward").alias("std"), F.min("reward").alias("least"), F.max("reward").alias("greatest"))
+    """Mean, sample deviation, least and greatest reward of each run, and whether they tell a model little or punish too much.
+
+    The same bits come out for any order of rows and any partitions.
+    """
+    stats = moments.described(scored, "reward", by)
     return stats.withColumn("weak_signal", F.col("std") < 0.05).withColumn("harsh", F.col("mean") < 0)

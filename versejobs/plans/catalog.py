@@ -9,6 +9,7 @@ from ..functions import formats, phonetics, rhyme, text
 from ..operators import metrics, mining, prompts, rewards, samples, songs
 from ..sources import io
 from ..sources.shared import new_folder
+from ..streaming import rewards as stream
 from . import oracle as O
 from . import views
 
@@ -35,6 +36,25 @@ def songs_csv(spark, sf_dir):
     return io.read_songs(spark, path).select("song_id", "artist", "title", "lyrics", "bpm", "loudness")
 
 
+@registered(f"WITH {O.SONGS_SQL} SELECT song_id, artist, title, lyrics, bpm, loudness FROM songs")
+def songs_csv_split(spark, sf_dir):
+    """S1, by blocks of files: the same songs, read by several tasks a file."""
+    path = new_folder(spark)
+    io.write_songs(views.songs(spark, sf_dir), path)
+    return io.read_songs(spark, path, split=True).select("song_id", "artist", "title", "lyrics", "bpm", "loudness")
+
+
+@registered(f"""WITH {O.SAMPLES} SELECT text, (length(text) % 5 = 0)::INT AS malformed FROM samples WHERE length(text) % 5 <> 0
+UNION ALL SELECT substr(text, 1, 40), 1 FROM samples WHERE length(text) % 5 = 0""")
+def malformed_samples(spark, sf_dir):
+    """Every fifth line isn't JSON; these come apart."""
+    path = new_folder(spark)
+    found = samples.samples(views.songs(spark, sf_dir)).withColumn("bad", F.length("text") % 5 == 0)
+    found.select(F.when(F.col("bad"), F.translate(F.substring("text", 1, 40), "\n\r", "¶¶")).otherwise(F.to_json(F.struct("text"))).alias("value")).write.text(path)
+    good, bad = io.read_samples_apart(spark, path)
+    return good.select("text", F.lit(0).alias("malformed")).unionByName(bad.select(F.translate("value", "¶", "\n").alias("text"), F.lit(1).alias("malformed")))
+
+
 @registered(f"WITH {O.SAMPLES} SELECT text FROM samples")
 def samples_json(spark, sf_dir):
     """Samples written as JSON lines and read again."""
@@ -158,7 +178,7 @@ SELECT token, {O.fill(O.HANGUL, 'spoken')} AS codes FROM said""")
 def spoken_codes(spark, sf_dir):
     """P10: Hangul words as a pronouncing function says them; as they are written where it fails or has nothing"""
     lines = songs.songs_lines(views.songs(spark, sf_dir))
-    found = phonetics.resolve_words(lines.select(F.explode(text.tokens(F.col("line"))).alias("token")), g2p=phonetics.spoken(say))
+    found = phonetics.resolve_words(lines.select(F.explode(text.tokens(F.col("line"))).alias("token")), g2p=phonetics.spoken(lambda: say, "say"))
     return found.where(phonetics.is_hangul(F.col("token")))
 
 
@@ -213,13 +233,11 @@ def top_songs(spark, sf_dir):
     return songs.top_songs(songs.density(views.songs(spark, sf_dir)))
 
 
-@registered(f"""WITH {O.SCORED}, s AS (SELECT density, old_score AS old, density - old_score AS delta FROM scored) SELECT
-{", ".join(f"count({c}) AS {c}_n, round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std" for c in ("density", "old", "delta"))},
-median(density)::DOUBLE AS density_median, median(old)::DOUBLE AS old_median FROM s""")
+@registered(f"WITH {O.SPREAD} SELECT {', '.join(f'round({c}_{x}, 9) AS {c}_{x}' if x != 'n' else f'{c}_{x}' for c in ('density', 'old', 'delta') for x in ('n', 'mean', 'std'))}, density_median, old_median FROM spread")
 def score_spread(spark, sf_dir):
     """A3, A4, A5"""
     found = songs.spread(songs.density(views.songs(spark, sf_dir)))
-    return found.select(*[F.round(c, 6).alias(c) if c.endswith(("_mean", "_std")) else F.col(c) for c in found.columns])
+    return found.select(*[F.round(c, 9).alias(c) if c.endswith(("_mean", "_std")) else F.col(c) for c in found.columns])
 
 
 @registered(f"WITH {O.SCORED} SELECT count(*) AS shared FROM (SELECT song_id FROM scored ORDER BY density DESC, song_id LIMIT 50) JOIN (SELECT song_id FROM scored ORDER BY old_score DESC, song_id LIMIT 50) USING (song_id)")
@@ -234,6 +252,23 @@ def top_artists(spark, sf_dir):
     return songs.top_artists(songs.density(views.songs(spark, sf_dir)))
 
 
+@registered(f"""WITH {O.SPREAD},
+top AS (SELECT * FROM scored ORDER BY density DESC, song_id LIMIT 10),
+artists AS (SELECT artist, ((2 * sum(density) + count(*)) // (2 * count(*)))::BIGINT AS mean FROM scored WHERE artist IS NOT NULL GROUP BY artist ORDER BY mean DESC, artist LIMIT 10),
+shared AS (SELECT song_id FROM (SELECT song_id FROM scored ORDER BY density DESC, song_id LIMIT 50) JOIN (SELECT song_id FROM scored ORDER BY old_score DESC, song_id LIMIT 50) USING (song_id))
+SELECT 'song' AS report, (row_number() OVER (ORDER BY density DESC, song_id))::INT AS place, title AS name, density::DOUBLE / 10000::DOUBLE AS value, old_score::DOUBLE / 10000::DOUBLE AS old FROM top
+UNION ALL SELECT 'artist', (row_number() OVER (ORDER BY mean DESC, artist))::INT, artist, mean::DOUBLE / 10000::DOUBLE, NULL FROM artists
+UNION ALL SELECT 'overlap', 1, 'shared', count(*)::DOUBLE, NULL FROM shared
+UNION ALL SELECT 'spread', 1, 'n', density_n::DOUBLE, old_n::DOUBLE FROM spread UNION ALL SELECT 'spread', 2, 'mean', round(density_mean, 9), round(old_mean, 9) FROM spread
+UNION ALL SELECT 'spread', 3, 'std', round(density_std, 9), round(old_std, 9) FROM spread UNION ALL SELECT 'spread', 4, 'median', density_median, old_median FROM spread
+UNION ALL SELECT 'spread', 5, 'delta mean', round(delta_mean, 9), NULL FROM spread UNION ALL SELECT 'spread', 6, 'delta std', round(delta_std, 9), NULL FROM spread""")
+def song_analysis(spark, sf_dir):
+    """Scored songs are written once, all reports read them."""
+    found = songs.reports(songs.analyzed(views.songs(spark, sf_dir).withColumnRenamed("rhyme_density_old", "rhyme_density"), new_folder(spark)))
+    exact = F.col("name").contains("mean") | F.col("name").contains("std")
+    return found.select("report", "place", "name", *[F.when(exact, F.round(c, 9)).otherwise(F.col(c)).alias(c) for c in ("value", "old")])
+
+
 # Samples.
 
 
@@ -302,6 +337,19 @@ def verse_rewards(spark, sf_dir):
     return found.select("conv_id", "turn", *[F.round(c, 9).alias(c) if c in ROUNDED else F.col(c) for c in REWARD_COLUMNS])
 
 
+@registered(ORACLES["verse_rewards"])
+def verse_rewards_stream(spark, sf_dir):
+    """G10 as files come in: some are scored by one run, the others by a second that takes up where it ended."""
+    source, sink, progress = new_folder(spark), new_folder(spark), new_folder(spark)
+    rows = views.completions(spark, sf_dir)
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    for part in (0, 1):
+        rows.where(F.col("conv_id") % 2 == part).write.mode("append").json(source)
+        stream.reward_files(spark, source, sink, progress, schema, files=4).awaitTermination()
+    found = spark.read.parquet(sink)
+    return found.select("conv_id", "turn", *[F.round(c, 9).alias(c) if c in ROUNDED else F.col(c) for c in REWARD_COLUMNS])
+
+
 @registered(f"WITH {O.REWARDS} SELECT (conv_id % 4)::BIGINT AS run, count(*) AS n, round(avg(reward), 9) AS mean, round(stddev_samp(reward), 9) AS std, round(min(reward), 9) AS least, round(max(reward), 9) AS greatest, stddev_samp(reward) < 0.05::DOUBLE AS weak_signal, avg(reward) < 0 AS harsh FROM rewards GROUP BY conv_id % 4")
 def reward_spread(spark, sf_dir):
     """G11, G12"""
@@ -318,6 +366,12 @@ def loanword_candidates(spark, sf_dir):
     return mining.candidates(mining.word_counts(views.songs(spark, sf_dir)))
 
 
+@registered(f"WITH {O.mined('[a-z]+', 'word')} SELECT * FROM found")
+def plain_word_candidates(spark, sf_dir):
+    """L1 with words of letters alone, where the last English word ends a line, whatever Hangul is behind it"""
+    return mining.candidates(mining.word_counts(views.songs(spark, sf_dir), "[a-z]+", "word"))
+
+
 @registered(f"WITH {O.MINED} SELECT * FROM counts WHERE NOT {O.GIVEN}")
 def uncovered_words(spark, sf_dir):
     """L2, of all words"""
@@ -338,10 +392,11 @@ def loss_curves(spark, sf_dir):
     return metrics.loss_curve(views.loss_points(spark, sf_dir))
 
 
-@registered("""WITH p AS (SELECT event_type AS stage, event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS step, value::DOUBLE AS loss FROM events)
+@registered("""WITH p AS (SELECT event_type AS stage, event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS step, value::DOUBLE AS loss FROM events
+  WHERE event_id % 7 NOT IN (1, 2) AND event_id % 11 NOT IN (1, 2, 3, 4))
 SELECT stage, step, max_by(loss, event_id) AS loss FROM p WHERE step IS NOT NULL AND loss IS NOT NULL GROUP BY stage, step""")
 def trainer_states_json(spark, sf_dir):
-    """State files written, read again and made a curve"""
+    """State files written, read again and made a curve of the entries with a whole step and a numeric loss"""
     path = new_folder(spark)
     io.write_trainer_states(views.trainer_states(spark, sf_dir), path)
     return metrics.loss_curve(metrics.loss_points(io.read_trainer_states(spark, f"{path}/*/*/*.json")))

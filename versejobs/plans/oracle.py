@@ -107,10 +107,20 @@ judged AS (SELECT *, greatest(0::DOUBLE, 1::DOUBLE - abs(n_lines - target)::DOUB
   CASE WHEN n_lines > 0 THEN greatest(0::DOUBLE, (max_run - 1)::DOUBLE / greatest(1, n_lines - 1)::DOUBLE) ELSE 1::DOUBLE END AS run_penalty FROM parts),
 rewarded AS (SELECT *, 0.5::DOUBLE * (rhyme * (1::DOUBLE - dup_ratio)) + 0.2::DOUBLE * length_score + 0.2::DOUBLE * format_ok - 0.4::DOUBLE * dup_ratio - 0.4::DOUBLE * run_penalty AS raw FROM judged),
 rewards AS (SELECT * EXCLUDE raw, CASE WHEN dup_ratio >= 0.6::DOUBLE OR max_run >= 3 THEN least(raw, 0::DOUBLE) ELSE raw END AS reward FROM rewarded)"""
-MINED = f"""{SONGS_SQL}, {LINES_SQL}, mined AS (SELECT regexp_extract_all(lower(line), '[가-힣]+|[a-z]+(?:''[a-z]+)*') AS w FROM lines),
+
+
+def mined(word: str = "[a-z]+(?:''[a-z]+)*", ends: str = "token") -> str:
+    """counts and found: words by occurrences; a line ends in its last token of any kind, or in its last English word."""
+    tokens = f"[가-힣]+|{word}" if ends == "token" else word
+    return f"""{SONGS_SQL}, {LINES_SQL}, mined AS (SELECT regexp_extract_all(lower(line), '{tokens}') AS w FROM lines),
 spread AS (SELECT unnest(w) AS word, unnest(range(1, len(w) + 1)) = len(w) AS at_end FROM mined),
 counts AS (SELECT word, count(*) AS total_count, count(*) FILTER (at_end) AS line_end_count FROM spread WHERE word < '가' AND NOT {fill(STOP, 'word')} GROUP BY word),
 found AS (SELECT * FROM counts ORDER BY line_end_count DESC, total_count DESC, word LIMIT 500)"""
+
+
+MINED = mined()
+SPREAD = f"""{SCORED}, s AS (SELECT density::DOUBLE / 10000::DOUBLE AS density, old_score::DOUBLE / 10000::DOUBLE AS old, (density - old_score)::DOUBLE / 10000::DOUBLE AS delta FROM scored),
+spread AS (SELECT {", ".join(f"count({c}) AS {c}_n, avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in ("density", "old", "delta"))}, median(density) AS density_median, median(old) AS old_median FROM s)"""
 GIVEN = "word IN (" + ", ".join(f"'{w}'" for w in T.OVERRIDES) + ")"
 
 # Pronunciations, phone by phone: each vowel with what follows up to the next one. What a phone stands for is joined once.

@@ -78,11 +78,17 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trainer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stage, checkpoint, log_history: events as state files with the entries of 1000 event_ids each."""
-    entry = F.struct(F.get_json_object("props", "$.k").alias("step"), F.col("value").cast("string").alias("loss"))
-    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.lpad(F.floor(F.col("event_id") / 1000).cast("string"), 16, "0").alias("checkpoint"), "event_id", entry.alias("entry"))
+    """stage, checkpoint, log_history: events as state files with the entries of 1000 event_ids each.
+
+    Some entries have a step or a loss of another type: as a text, with a point, as a truth value, null or nested.
+    """
+    i, k, loss = F.col("event_id"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.coalesce(F.col("value").cast("string"), F.lit("null"))
+    step = F.when(i % 7 == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(i % 7 == 2, F.concat(k, F.lit(".5"))).otherwise(k)
+    loss = F.when(i % 11 == 1, F.concat(F.lit('"'), loss, F.lit('"'))).when(i % 11 == 2, "true").when(i % 11 == 3, "null").when(i % 11 == 4, F.concat(F.lit("["), loss, F.lit("]"))).otherwise(loss)
+    entry = F.concat(F.lit('{"step":'), step, F.lit(',"loss":'), loss, F.lit(',"lr":{"value":1}}'))
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.lpad(F.floor(i / 1000).cast("string"), 16, "0").alias("checkpoint"), "event_id", entry.alias("entry"))
     logs = F.array_sort(F.collect_list(F.struct("event_id", "entry")))  # 1000 entries at most
-    return events.groupBy("stage", "checkpoint").agg(F.transform(logs, lambda x: x["entry"]).alias("log_history"))
+    return events.groupBy("stage", "checkpoint").agg(F.transform(logs, lambda x: F.parse_json(x["entry"])).alias("log_history"))
 
 
 LEXICON_SQL = f"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),

@@ -3,7 +3,7 @@
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession) -> str:
     """The path of a new folder in the shared one."""
     return f"{shared_folder(spark)}/{uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that lost executors don't lose it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
