@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .terms import folding, sliced
+from .terms import folding, numbers, sliced
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TABLE = folding(string.ascii_lowercase + string.digits)
 #: Postings of a block.
 BLOCK = 128
 #: A shard is closed when it has as many documents or postings.
-DOCUMENTS, POSTINGS = 1 << 16, 1 << 21
+DOCUMENTS, POSTINGS = 1 << 16, 1 << 20
 #: About as many terms of items are sent to tasks at a time.
 TERMS = 200_000
 SHARD = "doc_ids array<long>, lengths array<long>, terms array<string>, counts array<int>, first binary, last binary, doc_width binary, tf_width binary, most binary, body binary"
@@ -43,8 +43,13 @@ SHARD = "doc_ids array<long>, lengths array<long>, terms array<string>, counts a
 
 def sized(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all their terms."""
-    n = F.regexp_count("text", F.lit(TERM)).cast("long")
-    got = docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = numbers(batch.column("text"), TABLE)
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["docs", "terms"])
+
+    got = docs.select("text").mapInArrow(count, "docs long, terms long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "terms")]).first()
     return got.docs, got.terms
 
 
@@ -87,7 +92,7 @@ class Builder:
 
     def add(self, doc_ids: list, lengths: np.ndarray, rows: np.ndarray, codes: np.ndarray, tf: np.ndarray, names: list[str]) -> None:
         own = np.fromiter((self.terms.setdefault(x, len(self.terms)) for x in names), np.int64, len(names))
-        self.parts.append((rows + len(self.doc_ids), own[codes], tf))
+        self.parts.append(tuple(x.astype(np.int32) for x in (rows + len(self.doc_ids), own[codes], tf)))
         self.doc_ids += doc_ids
         self.lengths.append(lengths)
         self.n += len(rows)
@@ -116,35 +121,38 @@ class Builder:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
 
+def built(batches: Iterator[pa.RecordBatch], size: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Shards of a task's documents."""
+    own = Builder()
+    for batch in batches:
+        ids = batch.column("doc_id")
+        for rows, codes, names in sliced(batch.column("text"), TABLE):
+            if not len(rows):
+                continue
+            begins = np.concatenate([[True], rows[1:] != rows[:-1]])  # rows come in order
+            there, at = rows[begins], np.cumsum(begins) - 1
+            lengths = np.bincount(at)
+            keys, tf = np.unique(at * len(names) + codes, return_counts=True)
+            doc, code = keys // len(names), keys % len(names)
+            start = 0  # a slice that doesn't fit goes to several shards
+            while start < len(there):
+                edges = np.searchsorted(doc, np.arange(start, len(there) + 1))
+                room = max(1, int(np.searchsorted(edges, edges[0] + POSTINGS - own.n, side="right")) - 1)
+                end = min(len(there), start + room, start + max(1, DOCUMENTS - len(own.doc_ids)))
+                a, b = edges[0], edges[end - start]
+                used, code_of = np.unique(code[a:b], return_inverse=True)
+                own.add(ids.take(pa.array(there[start:end])).to_pylist(), lengths[start:end], doc[a:b] - start, code_of, tf[a:b], names.take(pa.array(used)).to_pylist())
+                start = end
+                if start < len(there) or own.n >= POSTINGS or len(own.doc_ids) >= DOCUMENTS:
+                    yield own.close(*size)
+                    own = Builder()
+    if own.n:
+        yield own.close(*size)
+
+
 def shards(docs: DataFrame, size: tuple[int, int]) -> DataFrame:
     """Shards of the documents that have terms; no exchange."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Builder()
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for rows, codes, names in sliced(batch.column("text"), TABLE):
-                if not len(rows):
-                    continue
-                there, at, lengths = np.unique(rows, return_inverse=True, return_counts=True)
-                keys, tf = np.unique(at * len(names) + codes, return_counts=True)
-                doc, code = keys // len(names), keys % len(names)
-                start = 0  # a slice that doesn't fit goes to several shards
-                while start < len(there):
-                    edges = np.searchsorted(doc, np.arange(start, len(there) + 1))
-                    room = max(1, int(np.searchsorted(edges, edges[0] + POSTINGS - own.n, side="right")) - 1)
-                    end = min(len(there), start + room, start + max(1, DOCUMENTS - len(own.doc_ids)))
-                    a, b = edges[0], edges[end - start]
-                    used, code_of = np.unique(code[a:b], return_inverse=True)
-                    own.add(ids.take(pa.array(there[start:end])).to_pylist(), lengths[start:end], doc[a:b] - start, code_of, tf[a:b], names.take(pa.array(used)).to_pylist())
-                    start = end
-                    if start < len(there) or own.n >= POSTINGS or len(own.doc_ids) >= DOCUMENTS:
-                        yield own.close(*size)
-                        own = Builder()
-        if own.n:
-            yield own.close(*size)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, SHARD)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: built(batches, size), SHARD)
 
 
 def write(docs: DataFrame, folder: str) -> None:
@@ -199,7 +207,7 @@ def best(shard: Shard, lists: np.ndarray, weights: np.ndarray, floor: int, k: in
     while i < len(lists) and rest[i] >= floor:
         docs, share = shard.open(np.arange(shard.lists[lists[i]], shard.lists[lists[i] + 1]))
         total[docs] += weights[i] * share
-        new, i = new + len(docs), i + 1
+        new, i, floor = new + len(docs), i + 1, kth(total[docs], k, floor)
         if 4 * new >= len(total) or i == len(lists):  # as much work as was done since
             floor, new = kth(total, k, floor), 0
     left = np.flatnonzero((total > 0) & (total + rest[i] >= floor))
@@ -228,6 +236,31 @@ def best(shard: Shard, lists: np.ndarray, weights: np.ndarray, floor: int, k: in
     return left[stay], score[stay]
 
 
+def best_of_shards(batches: Iterator[pa.RecordBatch], words: list[str], asked: list[tuple], names: list, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's shards for each item (names), from the numbers of its terms in `words` and their weights (asked)."""
+    known = pa.array(words, pa.string())
+    heaps: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))] * len(asked)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = {c: batch.column(c)[r] for c in batch.schema.names}
+            row = {c: v if c in ("doc_ids", "lengths", "terms", "counts") else v.as_py() for c, v in row.items()}
+            ids, nulls = pc.fill_null(row["doc_ids"].values, 0).to_numpy(), pc.is_null(row["doc_ids"].values).to_numpy(zero_copy_only=False)
+            shard = Shard(row, known)
+            for i, (terms, weights) in enumerate(asked):
+                on = shard.list_of[terms] >= 0
+                if not on.any():
+                    continue
+                score, doc, null = heaps[i]
+                docs, new = best(shard, shard.list_of[terms[on]], weights[on], kth(score, k, 1), k)
+                score, doc, null = np.concatenate([score, new]), np.concatenate([doc, ids[docs]]), np.concatenate([null, nulls[docs]])
+                top = np.lexsort((doc, null, -score))[:k]
+                heaps[i] = score[top], doc[top], null[top]
+    of = [names[i] for i, h in enumerate(heaps) for _ in h[0]]
+    if of:
+        score, doc, null = (np.concatenate([h[x] for h in heaps]) for x in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(doc, pa.int64(), mask=null), pa.array(score)], ["item_id", "doc_id", "score"])
+
+
 def lowered(text: Column | str) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
@@ -264,29 +297,4 @@ def searched(spark: SparkSession, folder: str, items: list[tuple], item_kind: st
     number = {t: i for i, t in enumerate(words)}
     asked = [(np.array([number[t] for t, _ in terms], np.int64), np.array([w for _, w in terms], np.int64)) for _, terms in items]
     sent = spark.sparkContext.broadcast((words, asked, [i for i, _ in items]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, asked, names = sent.value
-        known = pa.array(words, pa.string())
-        heaps: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))] * len(asked)
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r] for c in batch.schema.names}
-                row = {c: v if c in ("doc_ids", "lengths", "terms", "counts") else v.as_py() for c, v in row.items()}
-                ids, nulls = pc.fill_null(row["doc_ids"].values, 0).to_numpy(), pc.is_null(row["doc_ids"].values).to_numpy(zero_copy_only=False)
-                shard = Shard(row, known)
-                for i, (terms, weights) in enumerate(asked):
-                    on = shard.list_of[terms] >= 0
-                    if not on.any():
-                        continue
-                    score, doc, null = heaps[i]
-                    docs, new = best(shard, shard.list_of[terms[on]], weights[on], kth(score, k, 1), k)
-                    score, doc, null = np.concatenate([score, new]), np.concatenate([doc, ids[docs]]), np.concatenate([null, nulls[docs]])
-                    top = np.lexsort((doc, null, -score))[:k]
-                    heaps[i] = score[top], doc[top], null[top]
-        of = [names[i] for i, h in enumerate(heaps) for _ in h[0]]
-        if of:
-            score, doc, null = (np.concatenate([h[x] for h in heaps]) for x in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(doc, pa.int64(), mask=null), pa.array(score)], ["item_id", "doc_id", "score"])
-
-    return spark.read.parquet(folder).mapInArrow(run, f"item_id {item_kind}, doc_id long, score long")
+    return spark.read.parquet(folder).mapInArrow(lambda batches: best_of_shards(batches, *sent.value, k), f"item_id {item_kind}, doc_id long, score long")
