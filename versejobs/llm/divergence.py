@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .terms import folding, sliced
+from .terms import distinct, folding, sliced
 
 #: Bytes of the first prefixes.
 FIRST = 6
 #: Bits of the map of prefixes that stay.
 MAP_BITS = 1 << 25
+#: Most pairs of a language and a term that a task marks in a table; more are sorted.
+MARKS = 1 << 24
 #: Most groups whose sizes are sent to all tasks; more are joined.
 GROUPS = 20_000
 LETTERS = folding(string.ascii_lowercase)
@@ -57,14 +59,25 @@ def stays(found: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (found[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
 
-def alive(langs: list[str], of: np.ndarray, codes: np.ndarray, raw: list[bytes], upto: int | None, found: np.ndarray) -> np.ndarray:
+def alive(langs: list[str], of: np.ndarray, codes: np.ndarray, names: pa.Array, upto: int | None, found: np.ndarray) -> np.ndarray:
     """Whether the first `upto` bytes of each term (all: None) stay in its language; each pair of both is looked up once."""
-    both, back = np.unique(of * len(raw) + codes, return_inverse=True)
-    return stays(found, hashes(langs, both // len(raw), [raw[c][:upto] for c in (both % len(raw)).tolist()]))[back]
-
-
-def by_slices(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
-    """Row, its group by `columns`, term and terms, by slices; and the groups' values."""
+    keys = of * len(names) + codes
+    if len(langs) * len(names) <= MARKS:
+        seen = np.zeros(len(langs) * len(names), bool)
+        seen[keys] = True
+        both, back = np.flatnonzero(seen), None
+    else:
+        both, back = np.unique(keys, return_inverse=True)
+    raw = names.take(pa.array(both % len(names))).to_pylist()
+    on = stays(found, hashes(langs, both // len(names), raw if upto is None else [x[:upto] for x in raw]))
+    if back is None:
+        seen[both] = on
+        return seen[keys]
+    return on[back]
+
+
+def by_slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """For each slice: row, term number and terms; then the group by `columns` of each row of the batch, and the groups' values."""
     for batch in batches:
         coded = [batch.column(c).dictionary_encode() for c in columns]
         of = np.zeros(batch.num_rows, np.int64)
@@ -73,38 +86,40 @@ def by_slices(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
         groups, of = np.unique(of, return_inverse=True)
         values = []
         for c in coded[::-1]:
-            values.insert(0, c.dictionary.take(pa.array(groups % len(c.dictionary))).to_pylist())
+            values.insert(0, c.dictionary.take(pa.array(groups % len(c.dictionary))))
             groups = groups // len(c.dictionary)
         for rows, codes, names in sliced(batch.column("text"), LETTERS):
             if len(rows):
-                yield rows, of[rows], codes, names.cast(pa.large_binary()).to_pylist(), values
+                yield rows, codes, names.cast(pa.large_binary()), of, values
+
+
+def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def prefixes(rows: DataFrame, done: int, upto: int, found: np.ndarray | None) -> DataFrame:
     """lang, term, whole, docs: documents with each prefix of `upto` bytes, of terms of over `done` bytes whose prefix stays."""
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(found)
+    sent = rows.sparkSession.sparkContext.broadcast(found)
     schema = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("whole", pa.bool_()), ("docs", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, of, codes, raw, (langs,) in by_slices(batches, ["lang"]):
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        for row, codes, names, of, (langs,) in by_slices(batches, "lang"):
+            sizes = pc.binary_length(names).to_numpy()
             on = sizes[codes] > done
-            row, of, codes = row[on], of[on], codes[on]
+            row, codes = row[on], codes[on]
             if len(codes) and sent.value is not None:
-                on = alive(langs, of, codes, raw, done, sent.value)
-                row, of, codes = row[on], of[on], codes[on]
+                on = alive(langs.to_pylist(), of[row], codes, names, done, sent.value)
+                row, codes = row[on], codes[on]
             if not len(codes):
                 continue
-            heads: dict[tuple, int] = {}
-            head_of = np.array([heads.setdefault((x[:upto], len(x) <= upto), len(heads)) if len(x) > done else 0 for x in raw], np.int64)
+            heads = pc.binary_slice(names, 0, upto).dictionary_encode()
+            #: A prefix that is a whole term is another one than the same bytes with more behind them.
+            head = heads.indices.to_numpy().astype(np.int64) * 2 + (sizes <= upto)
+            n = 2 * len(heads.dictionary)
             # A document counts once for a prefix, however many of its terms begin with it.
-            once, first = np.unique(row.astype(np.int64) * len(heads) + head_of[codes], return_index=True)
-            keys, docs = np.unique(of[first] * len(heads) + once % len(heads), return_counts=True)
-            names = list(heads)
-            at = (keys % len(heads)).tolist()
-            columns = [[langs[k] for k in (keys // len(heads)).tolist()], [names[k][0] for k in at], [names[k][1] for k in at], docs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            once = distinct(row * n + head[codes])
+            keys, docs = np.unique(of[once // n] * n + once % n, return_counts=True)
+            yield batch_of(schema, langs.take(pa.array(keys // n)), heads.dictionary.take(pa.array(keys % n // 2)), keys % 2 == 1, docs)
 
     parts = rows.select("lang", "text").mapInArrow(count, "lang string, term binary, whole boolean, docs long")
     return parts.groupBy("lang", "term", "whole").agg(F.sum("docs").alias("docs"))
@@ -125,23 +140,25 @@ def kept_terms(rows: DataFrame, least: int, first: int = FIRST, bits: int = MAP_
 
 
 def counted(rows: DataFrame, kept: DataFrame, bits: int = MAP_BITS) -> DataFrame:
-    """lang, source, term, n, all_n: occurrences of each kept term in a group, where there are any, and in its language."""
+    """lang, source, term, n, all_n: occurrences of each kept term in a group, where there are any, and in its language.
+
+    All that follows goes by language and term, so counts are exchanged by these alone.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(marked(kept, bits))
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, of, codes, raw, (langs, sources) in by_slices(batches, ["lang", "source"]):
-            keys, n = np.unique(of * len(raw) + codes, return_counts=True)
-            of, codes = keys // len(raw), keys % len(raw)
-            on = alive(langs, of, codes, raw, None, sent.value)
-            own, at = of[on].tolist(), codes[on].tolist()
-            columns = [[langs[k] for k in own], [sources[k] for k in own], [raw[k] for k in at], n[on]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    n = rows.mapInArrow(count, "lang string, source string, term binary, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    n = cut(n.join(kept, ["lang", "term"], "left_semi"))
-    every = n.groupBy(F.col("lang").alias("_lang"), F.col("term").alias("_term")).agg(F.sum("n").alias("all_n"))
-    return n.join(every, (F.col("lang") == F.col("_lang")) & (F.col("term") == F.col("_term"))).drop("_lang", "_term")
+        for row, codes, names, of, (langs, sources) in by_slices(batches, "lang", "source"):
+            keys, n = np.unique(of[row] * len(names) + codes, return_counts=True)
+            own, codes = keys // len(names), keys % len(names)
+            lang = langs.dictionary_encode()
+            on = alive(lang.dictionary.to_pylist(), lang.indices.to_numpy().astype(np.int64)[own], codes, names, None, sent.value)
+            own, at = pa.array(own[on]), pa.array(codes[on])
+            yield batch_of(schema, langs.take(own), sources.take(own), names.take(at), n[on])
+
+    parts = rows.mapInArrow(count, "lang string, source string, term binary, n long").repartition("lang", "term")
+    n = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi")
+    return n.withColumn("all_n", F.sum("n").over(Window.partitionBy("lang", "term")))
 
 
 def share(n: str, size: str, terms: str) -> Column:
