@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product: inverted lists, scanned with adaptive dimensions.
 
-Centroids are fitted on a bounded sample, as many as the root of the number of vectors; every vector goes to the list of its
+Centroids are fitted on a bounded sample, as many as the root of the number of vectors, up to MOST / EACH, which is reached with
+a thousand million vectors; beyond that lists grow longer, and take more tasks each. Every vector goes to the list of its
 nearest one. In a list vectors are rotated at random and read by blocks of columns. After each block the
 distance over the columns so far, scaled up, bounds the whole distance from below unless a hypothesis test at EPSILON errs;
 with the norms that bounds the inner product from above, and candidates that can't reach the query's threshold are

@@ -2,10 +2,11 @@
 
 A word is marked or not; its features are itself, its first and last letters and its length. Labelled tokens come from the
 labelled documents of a bounded sample: in documents of label 1 those words are marked whose form or beginning stands in
-many different surroundings there and in next to none of the documents of label 0. The field is fitted on windows of
-these tokens; forward and backward messages then give each word's marginal. A document's score is a logistic function, fitted
-on the same sample, of what its marginals add up to: their sum, greatest and density, those from FLOOR on counting. Spans
-are runs of words whose marginal is CUT or more.
+many different surroundings there and in next to none of the documents of label 0. These counts are sums over the whole
+texts of the sample, made by Spark. The field is fitted on a few windows of each text, from anywhere in it; forward and
+backward messages then give each word's marginal. A document's score is a logistic function, fitted on the same sample, of
+what the marginals of its whole text add up to: their sum, greatest and density, those from FLOOR on counting. Spans are
+runs of words whose marginal is CUT or more. Only marked forms, windows and four numbers a document reach the driver.
 
 Defined results: null and empty texts, and texts without words, score as documents without marked words, with no spans; labels other than 0 and 1, or null,
 and labels without a document are not learnt from; without both labels every score is 0; repeated rows are scored
@@ -14,7 +15,7 @@ alike; an empty table gives an empty result; other columns are not read.
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .quality import training_rows
 
 #: Most labelled rows of each label that the field is fitted on.
 SAMPLE = 1500
-#: Of a training text with more characters than PIECES * PIECE so many pieces are taken, evenly from its start to its end.
-PIECES, PIECE = 20, 2000
 #: A word with a marginal from this on counts for its document's score; from CUT on it belongs to a span.
 FLOOR, CUT = 0.05, 0.3
 #: Hashed features.
 SLOTS = 1 << 18
-#: Words of a training window, and windows for each document.
+#: Words of a training window, and windows for each document, and as many again around marked words.
 WINDOW, WINDOWS = 24, 6
 #: Most words whose scores one Python worker remembers.
 MEMO = 300_000
@@ -161,59 +161,82 @@ def summed(p: np.ndarray, words: int) -> list[float]:
     return [np.log1p(total), float(p.max(initial=0)), np.sqrt(100 * total / max(1, words)), np.log1p(words) / 4]
 
 
-def token_labels(texts: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
-    """For each document's words, 1 where a word is marked.
+def forms(word: str) -> set[str]:
+    """What a word is marked by: itself in lower case, and its first five letters."""
+    return {word.lower(), word.lower()[:5] + "*"}
 
-    A form is marked that stands in at least five different surroundings (the words beside it) in documents of label 1 and
-    there is more than thirty times as usual as in documents of label 0; forms are whole words and their first five letters.
-    """
-    inside: dict[str, set[int]] = defaultdict(set)
-    outside: dict[str, int] = defaultdict(int)
-    for words, label in zip(texts, toxic, strict=True):
-        low = [w.lower() for w in words]
-        for k, w in enumerate(low):
-            for form in {w, w[:5] + "*"}:
+
+def marked_forms(rows: DataFrame) -> list[str]:
+    """Forms that stand in at least five different surroundings (the words beside them) in texts of label 1, and there more
+    than thirty times as usual as in texts of label 0. rows: text, label."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n: Counter = Counter()  # occurrences of label 0; surroundings of label 1, each once
+            for text, label in zip(batch.text, batch.label, strict=True):
+                low = [w.lower() for w in WORD.findall(text)]
+                n[None, int(label), 0] += len(low)
+                for k, w in enumerate(low):
+                    beside = zlib.crc32(f"{low[k - 1] if k else ''} {low[k + 1] if k + 1 < len(low) else ''}".encode()) if label else 0
+                    for form in forms(w):
+                        n[form, int(label), beside] += 1
+            yield pd.DataFrame([(*key, many) for key, many in n.items()], columns=["form", "label", "beside", "n"])
+
+    each = rows.select("text", "label").mapInPandas(count, "form string, label int, beside long, n long")
+    each = cut(each.groupBy("form", "label", "beside").agg(F.sum("n").alias("n")))
+    sizes = {r.label: r.n for r in each.where("form IS NULL").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    bad, good = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    sums = each.where("form IS NOT NULL").groupBy("form").agg(F.count_if(F.col("label") == 1).alias("inside"), F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("n"))), F.lit(0)).alias("outside"))
+    found = sums.where((F.col("inside") >= 5) & (F.col("inside") / bad > (F.col("outside") + 0.6) * 30 / good))
+    return sorted(r.form for r in found.select("form").collect())
+
+
+def windows(rows: DataFrame, marked: list[str]) -> DataFrame:
+    """doc_id, at, words and marks of 2 * WINDOWS windows of a text at most. rows: doc_id, text, label."""
+    own = set(marked)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for doc_id, text, label in zip(batch.doc_id, batch.text, batch.label, strict=True):
+                words = WORD.findall(text)
+                mark = np.array([int(bool(label) and not own.isdisjoint(forms(w))) for w in words], np.int8)
+                if not words or label and not mark.any():
+                    continue
+                rng = np.random.default_rng([3, zlib.crc32(str(doc_id).encode())])
+                starts = rng.integers(0, max(1, len(words) - WINDOW // 2), WINDOWS).tolist()
                 if label:
-                    inside[form].add(zlib.crc32(f"{low[k - 1] if k else ''} {low[k + 1] if k + 1 < len(low) else ''}".encode()))
-                else:
-                    outside[form] += 1
-    bad, good = max(1, sum(len(t) for t, y in zip(texts, toxic, strict=True) if y)), max(1, sum(len(t) for t, y in zip(texts, toxic, strict=True) if not y))
-    marked = {f for f, c in inside.items() if len(c) >= 5 and len(c) / bad > 30 * (outside.get(f, 0) + 0.6) / good}
-    return [np.array([int(bool(y) and (w.lower() in marked or w.lower()[:5] + "*" in marked)) for w in words], dtype=np.int8) for words, y in zip(texts, toxic, strict=True)]
+                    starts += [max(0, int(i) - int(rng.integers(0, WINDOW))) for i in rng.permutation(np.flatnonzero(mark))[:WINDOWS]]
+                found += [(str(doc_id), s, words[s : s + WINDOW], mark[s : s + WINDOW].tolist()) for s in sorted({*starts})]
+            yield pd.DataFrame(found, columns=["doc_id", "at", "words", "marks"])
+
+    return rows.select("doc_id", "text", "label").mapInPandas(take, "doc_id string, at int, words array<string>, marks array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE) -> Field:
     """The field learnt from the labelled rows that `keep` allows."""
     rows, counts = training_rows(docs.where("text IS NOT NULL"), labels, "toxic", keep, sample)
-    size = F.length("text")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring("text", (F.floor((size - PIECE) * i / (PIECES - 1)) + 1).cast("int"), F.lit(PIECE)))
-    rows = rows.withColumn("text", F.when(size > PIECES * PIECE, F.array_join(pieces, " ")).otherwise(F.col("text")))
-    got = rows.orderBy("doc_id", F.xxhash64("text")).select("text", "label").toPandas()
-    texts, toxic = [WORD.findall(x) for x in got.text], got.label.tolist()
-    field = Field()
-    marks = token_labels(texts, toxic)
-    if not any(m.any() for m in marks):
+    rows, field = cut(rows), Field()
+    marked = marked_forms(rows)
+    if not marked:
         return field
-    rng, number = np.random.default_rng(3), {}
-    xs, ys = [], []
-    for words, mark, label in zip(texts, marks, toxic, strict=True):
-        if not words or label and not mark.any():
-            continue
-        ids = np.array([number.setdefault(w.lower(), len(number)) for w in words])
-        starts = rng.integers(0, max(1, len(words) - WINDOW // 2), WINDOWS).tolist()
-        if label:
-            starts += [max(0, int(i) - int(rng.integers(0, WINDOW))) for i in rng.permutation(np.flatnonzero(mark))[:WINDOWS]]
-        for s in {*starts}:
-            x, y = np.full(WINDOW, -1), np.zeros(WINDOW, int)
-            part = ids[s : s + WINDOW]
-            x[: len(part)], y[: len(part)] = part, mark[s : s + WINDOW]
-            xs.append(x)
-            ys.append(y)
-    field.fit(list(number), np.array(xs), np.array(ys))
-    summaries = np.array(Tagger(field).summaries(got.text.tolist())[0])
-    y = np.array(toxic)
-    share = np.array([counts.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
-    field.fit_sums(summaries, y, (share / share.max())[y])
+    number: dict[str, int] = {}
+    parts = windows(rows, marked).orderBy("doc_id", "at").collect()  # 2 * sample * 2 * WINDOWS of WINDOW words at most
+    x, y = np.full((len(parts), WINDOW), -1), np.zeros((len(parts), WINDOW), int)
+    for k, part in enumerate(parts):
+        x[k, : len(part.words)] = [number.setdefault(w.lower(), len(number)) for w in part.words]
+        y[k, : len(part.marks)] = part.marks
+    field.fit(list(number), x, y)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(field)
+        for batch in batches:
+            yield pd.DataFrame({"label": batch.label, "x": tagger.summaries(batch.text.tolist())[0]})
+
+    got = rows.select("text", "label").mapInPandas(sums, "label int, x array<double>").orderBy("label", "x").collect()
+    labelled = np.array([r.label for r in got])
+    share = np.array([counts.get(k, 0) / max(1, (labelled == k).sum()) for k in (0, 1)])
+    field.fit_sums(np.array([r.x for r in got]), labelled, (share / share.max())[labelled])
     return field
 
 
