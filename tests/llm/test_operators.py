@@ -388,6 +388,84 @@ def test_quality_by_hand(spark, docs):
     assert abs(low - sum(r.quality == 0 for r in got) / len(got)) <= 0.02
 
 
+def test_quality_has_no_slope(spark):
+    """At the fitted weights the pairwise logistic loss with its ridge has no slope, and any step away makes it larger."""
+    rng = np.random.default_rng(6)
+    low, high = rng.normal(0, 1, (60, quality.FEATURES)), rng.normal(0.4, 1.2, (90, quality.FEATURES))
+    ranking = quality.Ranking(low, high, 0.4)
+    both = np.vstack([low, high])
+    a, b = (np.clip((x - both.mean(axis=0)) / (both.std(axis=0) + 1e-6), -8, 8) for x in (low, high))
+    d = b[np.random.default_rng(7).integers(0, len(b), len(a) * quality.PAIRS)] - np.repeat(a, quality.PAIRS, axis=0)
+
+    def loss(w):
+        return np.logaddexp(0, -(d @ w)).sum() + 0.5e-3 * len(d) * (w**2).sum()
+
+    for k in range(quality.FEATURES):
+        step = np.zeros(quality.FEATURES)
+        step[k] = 1e-4
+        slope = (loss(ranking.weight + step) - loss(ranking.weight - step)) / 2e-4
+        assert abs(slope) < 1e-3 * len(d) ** 0.5
+    assert all(loss(ranking.weight + 0.1 * rng.normal(size=quality.FEATURES)) > loss(ranking.weight) for _ in range(20))
+
+
+def test_labels_of_one_document(spark):
+    """Repeated rows count once, of several labels the greater, of several texts the least; the bound holds for rows."""
+    rows = [(i, t) for i in range(6) for t in ("b", "a", "c")] + [(7, None), (8, None), (8, "x")]
+    labels = [(i, 1, y) for i in range(9) for y in (0, i % 2)] * 3 + [(1, 1, None), (2, 1, 5), (None, 1, 1)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got, counts = quality.training_rows(docs, marks, "toxic", F.lit(True), 100)
+    assert sorted(map(tuple, got.select("doc_id", "label", "text").collect())) == [(i, i % 2, "a") for i in range(6)] + [(7, 1, None), (8, 0, "x")] and counts == {0: 4, 1: 4}
+    few, counts = quality.training_rows(docs, marks, "toxic", F.lit(True), 1)
+    assert few.count() == 2 and counts == {0: 4, 1: 4}
+
+
+def test_window_sums():
+    """Marginals and expected steps of windows, as the field is fitted with, against sums over all taggings; the slope of the likelihood."""
+    rng = np.random.default_rng(9)
+    e, here = rng.normal(0, 1, (3, 5)), np.array([[1, 1, 1, 1, 1], [1, 1, 1, 0, 0], [1, 0, 0, 0, 0]], bool)
+    step, start = rng.normal(0, 1, (2, 2)), 0.4
+
+    def taggings(n):
+        return [[(k >> i) & 1 for i in range(n)] for k in range(2**n)]
+
+    def weight(row, y, step):
+        return np.exp(start * y[0] + sum(e[row, i] for i in range(len(y)) if y[i]) + sum(step[u, v] for u, v in zip(y, y[1:], strict=False)))
+
+    p, joint = toxicity.Field._expect(e, here, step, start)
+    want, steps = np.zeros((3, 5)), np.zeros((2, 2))
+    for row, n in enumerate(here.sum(axis=1)):
+        total = sum(weight(row, y, step) for y in taggings(n))
+        for y in taggings(n):
+            want[row, :n] += np.array(y) * weight(row, y, step) / total
+            for u, v in zip(y, y[1:], strict=False):
+                steps[u, v] += weight(row, y, step) / total
+    assert np.allclose(p, want) and np.allclose(joint, steps)
+    nudge = np.zeros((2, 2))
+    nudge[1, 1] = 1e-5
+    slope = sum(np.log(sum(weight(r, y, step + nudge) for y in taggings(n))) - np.log(sum(weight(r, y, step - nudge) for y in taggings(n))) for r, n in enumerate(here.sum(axis=1))) / 2e-5
+    assert abs(slope - joint[1, 1]) < 1e-6
+
+
+def test_marked_forms_by_hand(spark):
+    """The counts that Spark makes over whole texts, of any length and in any number of tasks."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["Vile", "vilest", "rotten", "fair", "plain", "word", "x"], 60 if i else 30_000)) + (" onlybad" * (i % 2)), int(i % 2)) for i in range(40)]
+    rows += [(50 + i, " ".join(rng.choice(["fair", "plain", "word", "x"], 3000)), 0) for i in range(30)]
+    inside, outside, size = {}, {}, [0, 0]
+    for _, t, y in rows:
+        w = [x.lower() for x in toxicity.WORD.findall(t)]
+        size[y] += len(w)
+        for k, x in enumerate(w):
+            for form in {x, x[:5] + "*"}:
+                if y:
+                    inside.setdefault(form, set()).add((w[k - 1] if k else "", w[k + 1] if k + 1 < len(w) else ""))
+                else:
+                    outside[form] = outside.get(form, 0) + 1
+    want = sorted(f for f, c in inside.items() if len(c) >= 5 and len(c) / size[1] > 30 * (outside.get(f, 0) + 0.6) / size[0])
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert toxicity.marked_forms(table.repartition(7)) == toxicity.marked_forms(table.coalesce(1)) == want
+
+
 def test_toxicity_by_hand(spark, docs):
     """Scores and spans from the field, by sums over each text's words one after another."""
     found, labels = labelled(spark, lambda w, y, rng: " ".join([*w[:30], *(["vilest"] * y), *w[30:], *(["rotten"] * y)]))
@@ -420,7 +498,7 @@ def test_toxicity_by_hand(spark, docs):
 
 
 def test_toxicity_learns_from_long_texts(spark):
-    """A long labelled text counts by pieces from its start to its end."""
+    """All of a long labelled text counts, wherever its words stand."""
     filler = " ".join(f"z{i % 900}" for i in range(30_000))
     rows = [(i, f"x{i} " + " ".join(["foulest" if i % 2 else "fairest", f"y{k}"][j] for k in range(6) for j in (0, 1))) for i in range(60)]
     rows += [(i, filler + (f" foulest v{i} foulest u{i}" if i % 2 else "") + filler) for i in range(60, 70)]

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_folder
+from ..sources.shared import dealt, new_folder
 from . import ann, bpe, divergence, images, jaccard, lexical, licenses, line_dedup, mixing, pieces, quality, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,7 +21,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.copies(read(spark, sf_dir, "documents"))
+    plan = mixing.copies(dealt(read(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -51,7 +51,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup(dealt(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
