@@ -187,3 +187,26 @@ def test_bench_times_the_lexicon_join():
     import bench
 
     assert "song_density_lexicon" in bench.HEADLINE
+
+
+@pytest.mark.parametrize("absent", ["xxhash", "ahocorasick", "corpus_pipeline", "versejobs.llm"])
+def test_entry_without_what_llm_needs(absent):
+    """The lyric queries stay where a library that only llm needs, or llm itself, can't be imported."""
+    import subprocess
+    import sys
+
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), any(n.startswith('op') for n in q))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(__file__)), capture_output=True, text=True, check=True).stdout.split()
+    assert said == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES)), "False"]
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    """One row group goes to all cores; a table over the bound has no exchange; only the columns asked for are read."""
+    from versejobs.sources.shared import dealt
+
+    spark.range(1000).selectExpr("id", "id * 2 AS x").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    small = dealt(rows).select("x")
+    assert small.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and min(small.rdd.glom().map(len).collect()) > 0
+    assert "ReadSchema: struct<x:bigint>" in small._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "Exchange" not in dealt(rows, 1)._jdf.queryExecution().executedPlan().toString() and dealt(rows, 1) is rows

@@ -12,8 +12,8 @@ from . import tables as T
 from .text import tokens
 
 CODES = "array<int>"
-#: Words at a line's end that are looked at first: inside the row, and by join.
-NEAR, NEAR_JOINED = 6, 4
+#: Words at a line's end that are looked at first: inside the row, and by join; how many times as many there the next time.
+NEAR, NEAR_JOINED, MORE_JOINED = 6, 4, 16
 #: Most bytes, by the plan's statistics, and most words of a lexicon that goes into rows as a whole.
 SMALL_BYTES, SMALL_WORDS = 4 << 20, 20_000
 
@@ -266,36 +266,34 @@ def resolve_words(words: DataFrame, lexicon: DataFrame | None = None, g2p=None,
 def line_tails_by_words(lines: DataFrame, keys: list[str], lexicon: DataFrame | None = None, g2p=None, line: str = "line", near: int = NEAR_JOINED) -> DataFrame:
     """Keys, tail: the last three codes of each line that has any, the last one first, from resolved words.
 
-    Stopwords have no codes in any dictionary, so they don't leave the row. Of the other tokens the last `near` go to the
-    join; only lines with further tokens whose codes are still fewer than three take part in the next round, with three
-    times as many. No exchange holds more of a line than one round's tokens.
+    Stopwords have no codes in any dictionary, so they don't leave the row. Of the other tokens behind the last blanks of
+    a line `near` at most go to the join; only lines that have more and got fewer than three codes take part in the next
+    round, with MORE_JOINED times as many. No exchange holds more of a line than one round's tokens.
     """
-    parts = lines.select(*keys, F.reverse(F.filter(tokens(F.col(line)), lambda t: ~F.lower(t).isin(*T.STOPWORDS))).alias("_tokens"))
-    done, size, short, found = 0, near, None, None
+    size, short, found = near, None, None
     while True:
-        rows = parts.select(*keys, F.slice("_tokens", done + 1, size).alias("_near"), (F.size("_tokens") > done + size).alias("_more")).where(F.size("_near") > 0)
+        end = F.substring_index(line, " ", -2 * size)
+        some = F.reverse(F.filter(tokens(end), lambda t: ~F.lower(t).isin(*T.STOPWORDS)))
+        rows = lines.select(*keys, some.alias("_some"), (F.length(end) < F.length(line)).alias("_cut"))
+        rows = rows.select(*keys, F.slice("_some", 1, size).alias("_near"), (F.col("_cut") | (F.size("_some") > size)).alias("_more")).where((F.size("_near") > 0) | F.col("_more"))
         if short is not None:
-            rows = rows.join(short.select(*keys), keys, "left_semi")
-        each = rows.select(*keys, "_more", F.posexplode("_near").alias("_pos", "token"))
+            rows = rows.join(short, keys, "left_semi")
+        each = rows.select(*keys, "_more", F.posexplode_outer("_near").alias("_pos", "token"))
         own = given_codes(F.lower("token"))
         if g2p is None:
             own = F.when(is_hangul(F.col("token")), hangul_codes(F.col("token"))).otherwise(own)
-        each = each.withColumn("_own", own)
+        each = kept(each.withColumn("_own", own))
         words = resolve_words(each.where("_own IS NULL").select("token"), lexicon, g2p).select(F.col("token").alias("_token"), F.col("codes").alias("_found"))
-        each = each.join(words, F.col("token") == F.col("_token"), "left").select(*keys, "_more", F.struct("_pos", F.reverse(F.coalesce("_own", "_found")).alias("c")).alias("_x"))
+        each = each.join(words, F.col("token") == F.col("_token"), "left").select(*keys, "_more", F.struct("_pos", F.reverse(F.coalesce("_own", "_found", none())).alias("c")).alias("_x"))
         tail = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["c"])), 1, 3)
-        got = each.groupBy(*keys).agg(tail.alias("tail"), F.bool_or("_more").alias("_more"))
-        if short is not None:
-            before = short.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("tail").alias("_before"))
-            same = [F.col(k) == F.col(f"_{k}") for k in keys]
-            got = got.join(before, same).select(*keys, F.slice(F.concat("_before", "tail"), 1, 3).alias("tail"), "_more")
-        got = kept(got)
-        open_ones = got.where((F.size("tail") < 3) & F.col("_more"))
-        closed = got.where((F.size("tail") == 3) | ~F.col("_more")).select(*keys, "tail")
+        got = kept(each.groupBy(*keys).agg(tail.alias("tail"), F.bool_or("_more").alias("_more")))
+        open_ones = (F.size("tail") < 3) & F.col("_more")
+        closed = got.where(~open_ones).select(*keys, "tail")
         found = closed if found is None else found.unionByName(closed)
-        if open_ones.isEmpty():
+        short = got.where(open_ones).select(*keys)
+        if short.isEmpty():
             return found
-        done, size, short = done + size, 3 * size, open_ones
+        size *= MORE_JOINED
 
 
 def line_codes_by_words(lines: DataFrame, word_codes: DataFrame, keys: list[str], line: str = "line") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formats, phonetics, rhyme, text
 from ..operators import metrics, mining, prompts, rewards, samples, songs
 from ..sources import io
-from ..sources.shared import new_folder
+from ..sources.shared import kept, new_folder
 from ..streaming import rewards as stream
 from . import oracle as O
 from . import views
@@ -214,7 +214,7 @@ def song_density(spark, sf_dir):
 sums AS (SELECT song_id, sum(score) AS s, count(*) AS m FROM pairs GROUP BY song_id) SELECT song_id, coalesce((2 * s + m) // (2 * m), 0)::BIGINT AS density FROM songs LEFT JOIN sums USING (song_id)""")
 def song_density_lexicon(spark, sf_dir):
     """R4 with a lexicon, by join"""
-    return songs.density_by_words(views.songs(spark, sf_dir), views.dictionary(spark, sf_dir))
+    return songs.density_by_words(views.songs(spark, sf_dir), kept(views.dictionary(spark, sf_dir)))
 
 
 # Reports on songs.

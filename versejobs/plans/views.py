@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from ..sources.shared import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +69,8 @@ LETTER_PHONES = {
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pronunciation for every English word of the documents, letter by letter."""
     found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    phones = F.create_map(*[F.lit(x) for kv in LETTER_PHONES.items() for x in kv])
-    return found.withColumn("phones", F.array_join(F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.element_at(phones, c)), " "))
+    phones = F.array(*[F.lit(p) for p in LETTER_PHONES.values()])  # by the letter's place in the alphabet
+    return found.withColumn("phones", F.array_join(F.transform(F.filter(F.split("word", ""), lambda c: c != ""), lambda c: F.get(phones, F.ascii(c) - ord("a"))), " "))
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

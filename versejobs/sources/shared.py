@@ -5,6 +5,9 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes a core below which a table is dealt out.
+DEALT_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder in the one that the cluster names in spark.checkpoint.dir.
@@ -30,3 +33,15 @@ def kept(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors don't lose it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(rows: DataFrame, most: int = DEALT_BYTES) -> DataFrame:
+    """rows of a table of fewer than `most` bytes a core, in as many partitions as there are cores, or as it has if these are more.
+
+    A file's row groups are read by one task each, so a small table would leave most cores idle, however many partitions its
+    plan has. A larger table stays as it is, without an exchange.
+    """
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= n * most:
+        return rows
+    return rows.repartition(max(n, rows.rdd.getNumPartitions()))
