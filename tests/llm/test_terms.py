@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -193,49 +194,37 @@ def items():
     return [*out, (5, "rare7 a"), (None, "ab rare9"), (100, None), (101, "absent"), (102, "")]
 
 
-@pytest.mark.parametrize("documents, postings, block, at_once", [(1 << 16, 1 << 20, 128, 200_000), (7, 1 << 20, 4, 30), (1 << 16, 40, 2, 200_000), (1, 1, 1, 1)])
-def test_lexical(spark, docs, rows, items, tmp_path, monkeypatch, documents, postings, block, at_once):
-    """Large and tiny shards and blocks, items in one block and in many."""
-    for name, x in (("DOCUMENTS", documents), ("POSTINGS", postings), ("BLOCK", block)):
-        monkeypatch.setattr(lexical, name, x)
-    asked = spark.createDataFrame(items, "item_id long, text string")
-    size = lexical.sized(docs)
-    parts = [r for r in docs.coalesce(1).select("doc_id", "text").toArrow().to_batches()]
-    assert size == (sum(bool(re.findall(lexical.TERM, t or "")) for _, t, *_ in rows), sum(len(re.findall(lexical.TERM, t or "")) for _, t, *_ in rows)) and parts
-    if at_once == 1:  # as many jobs as terms
-        asked = asked.where("item_id IN (1, 5)")
-        items = [x for x in items if x[0] in (1, 5)]
-    local = lexical.shards
-    monkeypatch.setattr(lexical, "shards", lambda d, s: spark.createDataFrame([r.asDict() for r in rows_of_shards(d, s)], lexical.SHARD) if block != 128 else local(d, s))
+@pytest.mark.parametrize("at_once", [200_000, 30])
+def test_lexical(spark, docs, rows, items, tmp_path, at_once):
+    """Items sent to tasks at once and in blocks."""
+    words = [re.findall(lexical.TERM, t or "") for _, t, *_ in rows]
+    assert lexical.sized(docs) == (sum(map(bool, words)), sum(map(len, words)))
     lexical.write(docs, str(tmp_path / "index"))
-    monkeypatch.setattr(lexical, "shards", local)
-    if block != 128:  # tasks have the module's own constants, so shards of others are read here
-        got = search_here(spark, str(tmp_path / "index"), asked)
-    else:
-        got = sorted(((repr(r.item_id), r["rank"], r.doc_id, r.score) for r in lexical.search(spark, str(tmp_path / "index"), asked, terms=at_once).collect()), key=repr)
-    assert got == ranked_by_hand(rows, items)
-
-
-def rows_of_shards(docs, size):
-    """Shards built in this process, where constants can be set."""
-    from pyspark.sql import Row
-
-    ids, texts = zip(*[(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], strict=True)
-    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
-    return [Row(**r) for x in lexical.built([batch], size) for r in x.to_pylist()]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    got = lexical.search(spark, str(tmp_path / "index"), asked, terms=at_once).collect()
+    assert sorted(((repr(r.item_id), r["rank"], r.doc_id, r.score) for r in got), key=repr) == ranked_by_hand(rows, items)
 
 
-def search_here(spark, folder, items):
-    weights = lexical.weighed(spark, folder, items).collect()
+@pytest.mark.parametrize("documents, postings, block", [(7, 1 << 20, 4), (1 << 16, 40, 2), (1, 1, 1), (100, 300, 3)])
+def test_lexical_in_small_shards(spark, docs, rows, items, tmp_path, monkeypatch, documents, postings, block):
+    """Shards and blocks of few postings, built and searched in this process, where their sizes can be set."""
+    for name, x in (("DOCUMENTS", documents), ("POSTINGS", postings), ("BLOCK", block)):
+        monkeypatch.setattr(lexical, name, x)
+    size = lexical.sized(docs)
+    built = pa.Table.from_batches(list(lexical.built(docs.select("doc_id", "text").toArrow().to_batches(), size)))
+    assert len(built) > 3
+    built = built.append_column("all_docs", pa.array([size[0]] * len(built), pa.int64())).append_column("all_terms", pa.array([size[1]] * len(built), pa.int64()))
+    pq.write_table(built, tmp_path / "shards.parquet")
+    weights = lexical.weighed(spark, str(tmp_path), spark.createDataFrame(items, "item_id long, text string")).collect()
     words = sorted({t.term for r in weights for t in r.terms})
     asked = [(np.array([words.index(t.term) for t in r.terms], np.int64), np.array([t.w for t in r.terms], np.int64)) for r in weights]
-    batches = spark.read.parquet(folder).toArrow().to_batches()
-    got = [r for x in lexical.best_of_shards(batches, words, asked, [r.item_id for r in weights], 10) for r in x.to_pylist()]
-    out = []
-    for i in {r["item_id"] for r in got}:
-        own = sorted(((-r["score"], r["doc_id"] is None, r["doc_id"] or 0) for r in got if r["item_id"] == i))[:10]
-        out += [(repr(i), k, None if null else d, -s) for k, (s, null, d) in enumerate(own, 1)]
-    return sorted(out, key=repr)
+    found: dict = {}
+    for batch in built.to_batches(max_chunksize=2):  # each with heaps of its own, as tasks have
+        for x in lexical.best_of_shards([batch], words, asked, [r.item_id for r in weights], 10):
+            for r in x.to_pylist():
+                found.setdefault(r["item_id"], []).append((-r["score"], r["doc_id"] is None, r["doc_id"] or 0))
+    got = [(repr(i), k, None if null else d, -s) for i, own in found.items() for k, (s, null, d) in enumerate(sorted(own)[:10], 1)]
+    assert sorted(got, key=repr) == ranked_by_hand(rows, items)
 
 
 def test_lexical_of_nothing(spark, docs, items, tmp_path):

@@ -11,9 +11,8 @@ wherever it begins: of each line with words the shortest such runs that begin an
 is made up of these, so all its lines from the first with words to the last go, but at its first place. Runs are grouped by the
 SHA-256 of the SHA-256 of their lines.
 
-Places meet what is known of their keys by these, and then by document. Keys with over one HOTth of all places, of which there
-are fewer than HOT, are sent to all tasks first; their places then go anywhere, so no task depends on how often a chunk or a run
-occurs.
+Places meet the repeated keys by a join on the key, and then come together by document. Where the keys aren't few enough to be
+sent to all tasks, a key that stands very often is a large partition of that join, which adaptive execution splits.
 
 Defined results: a null text stays null with 0 lines; an empty text is one empty line; a text all of whose lines go
 becomes empty; null doc_ids rank last and count as one document; rows with equal doc_id and text get equal results and
@@ -24,7 +23,7 @@ n_lines and removed_lines are set.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, unused
+from .common import WORD, unused
 
 #: A chunk ends after a line where the rolling hash is divisible by this: the mean number of lines.
 DIVISOR = 3
@@ -34,8 +33,6 @@ ROLL = 2
 LEAST = 2
 #: A repeated run of lines with more words than this goes whole, also a single line.
 LONG = 50
-#: A key with more than one in so many of the repeated places is a hot one.
-HOT = 1000
 LAST_ID = (1 << 63) - 1
 
 
@@ -89,34 +86,20 @@ def ranked() -> Column:
     return F.coalesce("doc_id", F.lit(LAST_ID))
 
 
-def owned(places: DataFrame, twice: DataFrame) -> DataFrame:
-    """places (with doc_id, h, first and key) whose key is in `twice` (key, times, owner), with its owner.
-
-    A hot key stays only on its owner's own places; the others' are of no use further on, and make way for what spreads them.
-    """
-    twice = cut(twice)
-    total = twice.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    hot, rest = (twice.where(on).drop("times") for on in (F.col("times") * HOT > total, F.col("times") * HOT <= total))
-    found = places.join(F.broadcast(hot.select(F.col("key").alias("_hot"), F.col("owner").alias("_owner"))), F.col("key") == F.col("_hot"), "left")
-    anywhere = F.concat(F.unhex(F.md5(F.concat_ws(":", "doc_id", "h", "first"))), F.unhex(F.lit("00")))  # no key is as long
-    found = found.withColumn("key", F.when(F.col("_owner") != ranked(), anywhere).otherwise(F.col("key"))).drop("_hot")
-    found = found.join(rest.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").drop("_key")
-    return found.withColumn("owner", F.coalesce("owner", "_owner")).drop("_owner").where("owner IS NOT NULL")
-
-
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """doc_id, h, first, n, key and owner (the smallest doc_id that has it) of the places of chunks that stand twice."""
     places = chunks(docs, divisor).where(F.col("n") >= least)
     # Grouping by the text compares bytes; copies within a task are folded before the shuffle.
     twice = places.groupBy("chunk").agg(F.count("*").alias("times"), F.min(ranked()).alias("owner")).where("times > 1")
-    twice = twice.groupBy(F.unhex(F.md5("chunk")).alias("key")).agg(F.count("*").alias("texts"), F.max("times").alias("times"), F.min("owner").alias("owner")).where("texts = 1").drop("texts")
-    return owned(places.select("doc_id", "h", "first", "n", F.unhex(F.md5("chunk")).alias("key")), twice)
+    twice = twice.groupBy(F.unhex(F.md5("chunk")).alias("key")).agg(F.count("*").alias("texts"), F.min("owner").alias("owner")).where("texts = 1").drop("texts")
+    return places.select("doc_id", "h", "first", "n", F.unhex(F.md5("chunk")).alias("key")).join(twice, "key")
 
 
 def repeated_runs(docs: DataFrame, long: int = LONG) -> DataFrame:
     """The places of runs that stand twice, as in repeated_chunks()."""
     places = runs(docs, long)
-    return owned(places, places.groupBy("key").agg(F.count("*").alias("times"), F.min(ranked()).alias("owner")).where("times > 1"))
+    twice = places.groupBy("key").agg(F.count("*").alias("times"), F.min(ranked()).alias("owner")).where("times > 1").drop("times")
+    return places.join(twice, "key")
 
 
 def dedup(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST, long: int | None = LONG) -> DataFrame:
