@@ -282,9 +282,11 @@ def line_tails_by_words(lines: DataFrame, keys: list[str], lexicon: DataFrame |
         own = given_codes(F.lower("token"))
         if g2p is None:
             own = F.when(is_hangul(F.col("token")), hangul_codes(F.col("token"))).otherwise(own)
-        each = kept(each.withColumn("_own", own))
+        # Tokens whose codes are known already spread by their place instead of meeting at a frequent word.
+        each = each.withColumn("_own", own).withColumn("_key", F.when(F.col("_own").isNull(), F.col("token")))
+        each = kept(each.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\n"), F.xxhash64(*keys, "_pos").cast("string")))))
         words = resolve_words(each.where("_own IS NULL").select("token"), lexicon, g2p).select(F.col("token").alias("_token"), F.col("codes").alias("_found"))
-        each = each.join(words, F.col("token") == F.col("_token"), "left").select(*keys, "_more", F.struct("_pos", F.reverse(F.coalesce("_own", "_found", none())).alias("c")).alias("_x"))
+        each = each.join(words, F.col("_key") == F.col("_token"), "left").select(*keys, "_more", F.struct("_pos", F.reverse(F.coalesce("_own", "_found", none())).alias("c")).alias("_x"))
         tail = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["c"])), 1, 3)
         got = kept(each.groupBy(*keys).agg(tail.alias("tail"), F.bool_or("_more").alias("_more")))
         open_ones = (F.size("tail") < 3) & F.col("_more")
@@ -297,9 +299,9 @@ def line_tails_by_words(lines: DataFrame, keys: list[str], lexicon: DataFrame |
 
 
 def line_codes_by_words(lines: DataFrame, word_codes: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """P11 by join: keys and codes of each line, from resolved words."""
-    parts = lines.select(*keys, F.posexplode(tokens(F.col(line))).alias("pos", "token")).join(word_codes, "token")
-    joined = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "codes"))).alias("_all"))
-    found = joined.select(*[F.col(k).alias(f"_{k}") for k in keys], F.flatten(F.transform("_all", lambda x: x["codes"])).alias("codes"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return lines.join(found, same, "left").select(*[c for c in lines.columns], F.coalesce("codes", none()).alias("codes"))
+    """P11 by join: keys and codes of each line, from resolved words. Tokens are exchanged, lines aren't."""
+    parts = lines.select(*keys, F.posexplode_outer(tokens(F.col(line))).alias("_pos", "token"))
+    parts = parts.withColumn("token", F.coalesce("token", F.concat(F.lit("\n"), F.xxhash64(*keys).cast("string"))))  # no token is like that
+    words = word_codes.select(F.col("token").alias("_token"), F.col("codes").alias("_codes"))
+    each = parts.join(words, F.col("token") == F.col("_token"), "left").select(*keys, F.struct("_pos", F.coalesce("_codes", none()).alias("c")).alias("_x"))
+    return each.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["c"])).alias("codes"))
