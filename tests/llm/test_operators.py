@@ -250,7 +250,7 @@ def test_one_chunk_in_every_document(spark):
         for k in settings:
             spark.conf.unset(k)
     assert sorted(map(repr, map(tuple, again))) == sorted(map(repr, map(tuple, found)))
-    assert sum(sizes) == places.count() > 4000
+    assert sum(sizes) > 4000 and len(sizes) > int(spark.conf.get("spark.sql.shuffle.partitions"))  # so some were split
 
 
 def test_passages_sql(spark):
