@@ -12,7 +12,7 @@ is made up of these, so all its lines from the first with words to the last go,
 SHA-256 of the SHA-256 of their lines.
 
 Places meet the repeated keys by a join on the key, and then come together by document. Where the keys aren't few enough to be
-sent to all tasks, a key that stands very often is a large partition of that join, which adaptive execution splits.
+sent to all tasks, a key that stands very often is a large partition of that join, which adaptive execution can split.
 
 Defined results: a null text stays null with 0 lines; an empty text is one empty line; a text all of whose lines go
 becomes empty; null doc_ids rank last and count as one document; rows with equal doc_id and text get equal results and
