@@ -51,7 +51,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(dealt(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return line_dedup.dedup(dealt(read(spark, sf_dir, "documents")).select("doc_id", "text"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
