@@ -124,7 +124,50 @@ def test_joins_are_repaired():
             assert ids == coder.whole([text])[0]
             widths.append(words)
         assert sum(w > 0 for w in widths) > 100 and max(widths) <= 8
-        assert bpe.rejoined(coder, LONG[:20_000]) == coder.whole([LONG[:20_000]])[0]
+        pieces = [LONG[i : i + 997] for i in range(0, 20_000, 997)]
+        pieces[-1] = pieces[-1][: 20_000 - 997 * 20]
+        assert bpe.rejoined(coder, list(zip(pieces, coder.whole(pieces), strict=True))) == coder.whole([LONG[:20_000]])[0]
+
+
+def test_repairs_encode_windows_alone():
+    """A text with one bad join keeps the ids of its pieces but for a window beside it."""
+    from versejobs.llm import tokens
+
+    class Counting:
+        def __init__(self, coder):
+            self.coder, self.most = coder, 0
+
+        def whole(self, some):
+            self.most = max(self.most, *map(len, some))
+            return self.coder.whole(some)
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        coder = tokens.Encoder(public_tokenizers.path(name))
+        text = " ".join(f"word{i % 997}" for i in range(9_000))
+        k = text.index("word500") + 3
+        cuts = [0, text.index(" ", 1_000), k, text.index(" ", 30_000), len(text)]
+        pieces = [text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+        counting = Counting(coder)
+        assert bpe.rejoined(counting, list(zip(pieces, coder.whole(pieces), strict=True))) == coder.whole([text])[0]
+        assert 0 < counting.most < 100
+
+
+def test_bpe_joins_cut_anywhere(spark, docs):
+    """Chunks cut within words: documents whose joins differ are repaired from the ids of shared and of their own pieces."""
+    from tokenizers import Tokenizer
+
+    def cutter(some):
+        return [[t[i : i + 41] for i in range(0, len(t), 41)] for t in some]
+
+    rows = [(i, t) for i, t in texts() if i != 7] + [(20, BASE[:410] + " of its own"), (21, LONG[:2_000]), (22, LONG[:1_640] + "é 日本語 " * 30)]
+    rows = rows * 2
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        found = bpe.encode(some, path, bpe.full, cutter).collect()
+        want = [(repr(i), repr(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+        assert by_text(found, "token_ids") == sorted(want)
 
 
 def test_chunks_shift():

@@ -3,8 +3,9 @@
 A rolling hash over the bytes cuts texts at blanks and line ends, so equal passages give equal chunks wherever they stand.
 Chunks that occur twice in the corpus are encoded once: their texts meet in one row, and the ids go to the places by a
 join. What stands between them in a document is encoded there. Where two pieces meet, the whole words beside the join are
-encoded together and apart. Where that differs, the join is repaired: a window of words on both sides is encoded, and grows
-until its outer halves agree with the ids of both sides, at the latest when it holds both sides whole.
+encoded together and apart. Where that differs, the document's pieces go on with their ids to be joined again beside its text:
+a window of words on both sides of such a join is encoded, and grows until its outer halves agree with the ids of both sides,
+at the latest when it holds both sides whole. All ids outside the windows stay those of the pieces.
 
 Which chunks are shared is told to the tasks by a bit map of fixed size: a wrong bit sends a chunk the longer way, with
 the same result. Rows with the same text are encoded once.
@@ -104,19 +105,18 @@ def repaired(coder, left: str, right: str, left_ids: bytes, right_ids: bytes, be
         words *= 2
 
 
-def rejoined(coder, text: str) -> bytes:
-    """Ids of a text from those of its chunks, joined one by one with repairs."""
+def rejoined(coder, pieces: list[tuple[str, bytes]]) -> bytes:
+    """Ids of a text from its pieces and their ids, joined one by one with repairs."""
     done: list[tuple[str, bytes]] = []  # the joins between these hold
-    chunks = chunked([text])[0]
-    for chunk, own in zip(chunks, coder.encode(chunks), strict=True):
+    for piece, own in pieces:
         found = None
-        while done and not (found := repaired(coder, done[-1][0], chunk, done[-1][1], own, len(done) == 1)):
+        while done and not (found := repaired(coder, done[-1][0], piece, done[-1][1], own, len(done) == 1)):
             (one, one_ids), (two, two_ids) = done[-2:]
             done[-2:] = [(one + two, one_ids + two_ids)]
         if found and found[1]:
-            done[-1] = (done[-1][0] + chunk, found[0])
+            done[-1] = (done[-1][0] + piece, found[0])
         else:
-            done.append((chunk, own))
+            done.append((piece, own))
     return b"".join(ids for _, ids in done)
 
 
@@ -140,12 +140,12 @@ def table(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns, dtype=object)
 
 
-def shared_map(texts: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
+def shared_map(texts: DataFrame, map_bits: int = MAP_BITS, cutter: Callable = chunked) -> np.ndarray:
     """One bit for each residue of a hash that stands twice among the chunks of different texts, packed."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, some in fresh(batches):
-            yield pd.DataFrame({"h": [chunk_hash(c) for chunks in chunked(some) for c in chunks]}, dtype="int64")
+            yield pd.DataFrame({"h": [chunk_hash(c) for chunks in cutter(some) for c in chunks]}, dtype="int64")
 
     twice = texts.mapInPandas(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     bit = F.col("h") % map_bits
@@ -171,15 +171,15 @@ def fresh(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
             yield keys, some
 
 
-def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> DataFrame:
-    """doc_id and the columns of `outputs` for each row of docs."""
+def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests, cutter: Callable = chunked) -> DataFrame:
+    """doc_id and the columns of `outputs` for each row of docs; `cutter` gives the chunks of each of some texts."""
     spark = docs.sparkSession
     columns, finish = outputs(tokenizer)
     names = [c.split()[0] for c in columns.split(", ")]
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.unhex(F.md5("text")))
     texts = keyed.select("key", "text")
-    bits = spark.sparkContext.broadcast(shared_map(texts))
+    bits = spark.sparkContext.broadcast(shared_map(texts, cutter=cutter))
     pieces = f"key binary, pos int, ids binary, head string, tail string, {columns}"
 
     def is_shared(h: int) -> bool:
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
         sent: set = set()
         for keys, some in fresh(batches):
             rows = []
-            for key, chunks in zip(keys, chunked(some), strict=True):
+            for key, chunks in zip(keys, cutter(some), strict=True):
                 for pos, c in enumerate(chunks):
                     if is_shared(chunk_hash(c)):
                         name = hashlib.md5(c.encode("utf-8", "surrogatepass")).digest()
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
         coder = encoder(tokenizer)
         for keys, some in fresh(batches):
             runs = []
-            for key, text, chunks in zip(keys, some, chunked(some), strict=True):
+            for key, text, chunks in zip(keys, some, cutter(some), strict=True):
                 shared = [is_shared(chunk_hash(c)) for c in chunks]
                 if not any(shared):
                     runs.append((key, -1, text))
@@ -234,13 +234,15 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
             yield table(rows, ["key", "pos", "ids", "head", "tail", *names])
 
     def assembled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole documents from their pieces, which come in order; `exact` is false where a join differs."""
+        """Whole documents from their pieces, which come in order; where a join differs, the places and ids of the pieces."""
         coder, agreed = encoder(tokenizer), {}
-        key, last, parts, tail, good = None, None, [], None, True
+        key, last, places, parts, tail, good = None, None, [], [], None, True
+        out = ["key", "places", "parts", *names]
 
         def close() -> tuple:
-            done = finish(np.frombuffer(b"".join(parts), coder.type)) if good else (None,) * len(names)
-            return (key, good, *done)
+            if good:
+                return (key, None, None, *finish(np.frombuffer(b"".join(parts), coder.type)))
+            return (key, places, parts, *[None] * len(names))
 
         def agrees(left: str, right: str) -> bool:
             if (left, right) not in agreed:
@@ -256,25 +258,32 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
                 if row.key != key:
                     if key is not None and last >= 0:
                         rows.append(close())
-                    key, last, parts, tail, good = row.key, None, [], None, True
+                    key, last, places, parts, tail, good = row.key, None, [], [], None, True
                 if row.pos == last:  # the same text came from two tasks
                     continue
                 last = row.pos
                 if row.pos < 0:
-                    rows.append((key, True, *row[5:]))
+                    rows.append((key, None, None, *row[5:]))
                     continue
                 if tail is not None and good:
                     good = agrees(tail, row.head)
+                places.append(row.pos)
                 parts.append(row.ids)
                 tail = row.tail
-            yield table(rows, ["key", "exact", *names])
+            yield table(rows, out)
         if key is not None and last >= 0:
-            yield table([close()], ["key", "exact", *names])
+            yield table([close()], out)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def repairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents with joins that differ, from their pieces' ids."""
         coder = encoder(tokenizer)
-        for keys, some in fresh(batches):
-            yield table([(k, *finish(np.frombuffer(rejoined(coder, t), coder.type))) for k, t in zip(keys, some, strict=True)], ["key", *names])
+        for batch in batches:
+            rows = []
+            for key, text, places, parts in zip(batch["key"], batch.text, batch.places, batch.parts, strict=True):
+                chunks = cutter([text])[0]
+                pieces = ["".join(chunks[i:j]) for i, j in zip(places, [*places[1:], len(chunks)], strict=True)]
+                rows.append((key, *finish(np.frombuffer(rejoined(coder, list(zip(pieces, parts, strict=True))), coder.type))))
+            yield table(rows, ["key", *names])
 
     n = partitions(spark)
     want = cut(texts.mapInPandas(wanted, "chunk binary, key binary, pos int, text string"))
@@ -283,11 +292,11 @@ def encode(docs: DataFrame, tokenizer: str, outputs: Callable = digests) -> Data
     nothing = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")]
     met = want.drop("text").join(done.hint("merge"), "chunk").select("key", "pos", "ids", "head", "tail", *nothing)
     found = met.unionByName(texts.mapInPandas(local, pieces))
-    found = found.repartition(n, "key").sortWithinPartitions("key", "pos").mapInPandas(assembled, f"key binary, exact boolean, {columns}")
+    found = found.repartition(n, "key").sortWithinPartitions("key", "pos").mapInPandas(assembled, f"key binary, places array<int>, parts array<binary>, {columns}")
     found = cut(found)
-    odd = found.where("NOT exact").select("key")
-    results = found.where("exact").drop("exact")
+    odd = found.where("places IS NOT NULL").select("key", "places", "parts")
+    results = found.where("places IS NULL").drop("places", "parts")
     if not odd.isEmpty():
-        again = texts.join(odd, "key", "left_semi").mapInPandas(whole, f"key binary, {columns}")
-        results = results.unionByName(again.dropDuplicates(["key"]))
+        beside = texts.join(odd.select("key"), "key", "left_semi").dropDuplicates(["key"]).join(odd, "key")
+        results = results.unionByName(beside.mapInPandas(repairs, f"key binary, {columns}"))
     return keyed.select("doc_id", "key").join(results, "key").select("doc_id", *names)
