@@ -170,6 +170,28 @@ def test_bpe_joins_cut_anywhere(spark, docs):
         assert by_text(found, "token_ids") == sorted(want)
 
 
+def test_runs_by_hand(spark):
+    """Ends of runs with any white space, lines without words, and lines of many words."""
+    rng, rows = np.random.default_rng(4), [(0, None), (1, ""), (2, "\n \n\t"), (3, "w " * 51), (4, "w " * 50), (5, "w " * 60 + "\n" + "v " * 60)]
+    gaps = [" ", " ", " ", "  ", "\t", "\r", "\x0b ", "\x0c"]
+    for i in range(10, 40):
+        lines = []
+        for n in rng.integers(0, rng.choice([4, 30, 120]), 40):
+            line = "".join(f"é{k}" + str(rng.choice(gaps)) for k in range(n))
+            lines.append(str(rng.choice(["", " ", "\t"])) + (line if rng.random() < 0.5 else line[:-1]))
+        rows.append((i, "\n".join(lines)))
+    want = set()
+    for i, text in rows:
+        of = [k for k, line in enumerate((text or "").split("\n")) for _ in words(line)]
+        for p in range(len(of)):
+            if (p == 0 or of[p - 1] != of[p]) and p + 50 < len(of):
+                want.add((i, of[p], of[p + 50] - of[p] + 1))
+            if (p + 1 == len(of) or of[p + 1] != of[p]) and p >= 50:
+                want.add((i, of[p - 50], of[p] - of[p - 50] + 1))
+    found = [(r.doc_id, r["first"], r["n"]) for r in line_dedup.runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 500
+
+
 def test_chunks_shift():
     a = " ".join(f"{hashlib.md5(str(i).encode()).hexdigest()[:5]}" for i in range(4000))
     one, two = bpe.chunked([a, "new words first " + a])

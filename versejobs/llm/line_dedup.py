@@ -23,8 +23,10 @@ n_lines and removed_lines are set.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, unused
+from .common import unused
 
+#: White space within lines, beside the blank.
+BLANKS = "\t\x0b\x0c\r"
 #: A chunk ends after a line where the rolling hash is divisible by this: the mean number of lines.
 DIVISOR = 3
 #: Lines in the rolling hash.
@@ -60,15 +62,28 @@ def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
 def runs(docs: DataFrame, long: int = LONG) -> DataFrame:
     """doc_id, h, first, n and key of the shortest runs of lines with over `long` words from and up to each line with words."""
-    lined = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines")).where("lines is not null")
+    # No filter stands on what is derived here: it would go below this and derive it twice.
+    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"), "text")
+    other = F.translate("text", BLANKS, " " * len(BLANKS))
+    has_other = F.contains("text", F.lit(BLANKS[0]))
+    for c in BLANKS[1:]:
+        has_other |= F.contains("text", F.lit(c))
+    lined = lined.withColumn("plain", F.when(has_other, F.split(other, "\n", -1)).otherwise(F.col("lines")))
+
+    def words(line):
+        """Words of a line, but no more than decide whether it is a run by itself."""
+        odd = (line == "") | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+        few = F.size(F.split(line, " ", long + 1))  # the last part has all further words
+        return F.when(odd, F.least(F.size(F.array_remove(F.split(line, " ", -1), "")), F.lit(long + 1))).otherwise(few)
+
     # The line of each word. A line's first word and the one `long` words on name a run, as do its last and the one `long` before.
-    lined = lined.withColumn("of", F.flatten(F.transform("lines", lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit(WORD))))))
-    lined = lined.withColumn("most", F.size("of") - 1).where(F.col("most") >= long)
+    lined = lined.withColumn("of", F.flatten(F.transform("plain", lambda x, i: F.array_repeat(i, words(x)))))
+    lined = lined.withColumn("most", F.size("of") - 1)
 
     def at(i):
         return F.get("of", i)
 
-    heads = F.filter(F.sequence(F.lit(0), "most"), lambda p: (p == 0) | (at(p - 1) != at(p)))
+    heads = F.array_compact(F.transform(F.when(F.col("most") >= long, F.col("of")), lambda line, p: F.when(~at(p - 1).eqNullSafe(line), p)))
     lined = lined.withColumn("heads", heads).withColumn("keys", F.transform("lines", lambda x: F.sha2(x, 256)))
     starts = F.transform(F.filter("heads", lambda p: p + long <= F.col("most")), lambda p: F.struct(at(p).alias("first"), at(p + long).alias("last")))
     tails = F.transform("heads", lambda p, i: F.coalesce(F.get("heads", i + 1), F.col("most") + 1) - 1)
