@@ -44,7 +44,7 @@ def chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     def hash_of(line):
         return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
-    lined = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines")).where("lines is not null")
+    lined = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n", -1).alias("lines"))
     lined = lined.withColumn("hashes", F.transform("lines", hash_of))
     n = F.size("hashes")
 
