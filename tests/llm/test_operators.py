@@ -1,6 +1,7 @@
 """The operators for training data against brute force, and their defined results for odd input."""
 
 import hashlib
+import pickle
 import re
 import zlib
 
@@ -86,6 +87,14 @@ def test_jaccard_small_map(docs):
     assert small == by_text(jaccard.join(docs).collect(), "component_id")
 
 
+def test_jaccard_map_is_small_for_a_small_table(docs):
+    """The driver gets the map of repeated shingles compressed, as do the workers, who open it."""
+    order = jaccard.ordered(docs)
+    assert sum(map(len, order.slices)) < 1 << 18 and "bits" not in vars(order)
+    opened = pickle.loads(pickle.dumps(order)).bits
+    assert len(opened) == jaccard.MAP_BITS // 8 and 0 < np.count_nonzero(opened) < 10_000
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
