@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -501,6 +502,28 @@ def test_quality_has_no_slope(spark):
     assert all(loss(ranking.weight + 0.1 * rng.normal(size=quality.FEATURES)) > loss(ranking.weight) for _ in range(20))
 
 
+def test_quality_learns_from_all_pairs(spark):
+    """Of 8,400 labelled rows none is left out: over all their pairs the loss has no slope, and the cut is their exact quantile."""
+    rng = np.random.default_rng(21)
+    rows, labels = [], []
+    for i in range(8400):
+        y = int(rng.random() < 0.45)
+        rows.append((i, " ".join(w.upper() if rng.random() < 0.3 + 0.1 * y else w + "!" * int(rng.integers(0, 2 + y)) for w in ("ab", "cd", "7", "e.", "fgh")[: rng.integers(1, 6)])))
+        labels.append((i, y))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    ranking = quality.fit(docs, marks, F.lit(True))
+    x, y = quality.described(pd.Series([t for _, t in rows])), np.array([k for _, k in labels])
+    assert np.allclose(ranking.mean, x.mean(axis=0)) and np.allclose(ranking.scale, x.std(axis=0) + 1e-6)
+    even = np.clip((x - ranking.mean) / ranking.scale, -8, 8)
+    a, b = even[y == 0], even[y == 1]
+    wrong = 1 / (1 + np.exp((b @ ranking.weight)[:, None] - a @ ranking.weight)) / (len(a) * len(b))
+    slope = wrong.sum(axis=1) @ b - wrong.sum(axis=0) @ a - 1e-3 * ranking.weight
+    assert np.abs(slope).max() < 2e-5
+    assert abs(ranking.shift - np.sort(ranking.raw(x))[len(a) - 1]) < 1e-9
+    again = quality.fit(docs.repartition(7, "text"), marks, F.lit(True))
+    assert (again.weight == ranking.weight).all() and again.shift == ranking.shift
+
+
 def test_labels_of_one_document(spark):
     """Repeated rows count once, of several labels the greater, of several texts the least; the bound holds for rows."""
     rows = [(i, t) for i in range(6) for t in ("b", "a", "c")] + [(7, None), (8, None), (8, "x")]
