@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from versejobs.operators import metrics
 from versejobs.plans import catalog
@@ -89,6 +90,20 @@ def test_lexicon(spark, tmp_path):
     assert [tuple(r) for r in io.read_lexicon(spark, str(tmp_path / "d")).collect()] == [("read", "R EH1 D")]
 
 
+def test_lines_of_a_lexicon_are_worked_out_once(spark, tmp_path):
+    """A costly expression that makes the lines is evaluated once a row, whatever is taken from it."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def line(word):
+        made.add(1)
+        return f"{word}(1)  K AE1 T" if word != "NONE" else ";;; no word"
+
+    rows = spark.createDataFrame([("CAT",), ("DOG",), ("NONE",)], "word string")
+    got = io.first_pronunciations(rows.select(line("word").alias("value"))).collect()
+    assert sorted(map(tuple, got)) == [("cat", "K AE1 T"), ("dog", "K AE1 T")] and made.value == 3
+
+
 def test_trainer_states(spark, tmp_path):
     """Entries as they are typed: texts, truth values, numbers with a point, nulls, nested and other values are no points."""
     folder = tmp_path / "grpo" / "checkpoint-50"

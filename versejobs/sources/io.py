@@ -103,8 +103,13 @@ def write_candidates(candidates: DataFrame, path: str) -> None:
 
 def first_pronunciations(entries: DataFrame) -> DataFrame:
     """Word, phones from lines `WORD(n)  PHONES` (value) of a pronouncing dictionary; of several the first counts."""
-    rows = entries.where("value NOT LIKE ';;;%' AND trim(value) != ''")
-    rows = rows.select(F.regexp_extract("value", r"^(\S+?)(?:\(\d+\))?\s", 1).alias("word"), F.regexp_extract("value", r"^\S+?\((\d+)\)\s", 1).alias("n"), F.regexp_extract("value", r"^\S+\s+(.*)$", 1).alias("phones"))
+
+    def parts(v: Column) -> Column:
+        return F.struct(v.alias("value"), F.regexp_extract(v, r"^(\S+?)(?:\(\d+\))?\s", 1).alias("word"), F.regexp_extract(v, r"^\S+?\((\d+)\)\s", 1).alias("n"), F.regexp_extract(v, r"^\S+\s+(.*)$", 1).alias("phones"))
+
+    # A function over one element, exploded, so that a line that is worked out from columns is so once, not for each use of it.
+    each = F.transform(F.array("value"), parts)
+    rows = entries.select(F.explode(F.filter(each, lambda x: ~x["value"].like(";;;%") & (F.trim(x["value"]) != ""))).alias("x")).select("x.word", "x.n", "x.phones")
     variant = F.when(F.col("n") == "", 0).otherwise(F.col("n").cast("int"))
     return rows.where("word != ''").groupBy(F.lower("word").alias("word")).agg(F.min_by("phones", variant).alias("phones"))
 
