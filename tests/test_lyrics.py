@@ -99,6 +99,14 @@ def test_rewards(spark):
     assert [r.n for r in runs] == [3, 0]
 
 
+def test_experiment_keys_are_worked_out_once(spark):
+    """One search for a text's characters, and nothing but the ends is looked at again."""
+    names = [" a b ", "..-", None, "", "-x.", ".a--b.-", "한글", "a\n", "\n.a.\n"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select(formats.experiment_key(F.col("name")).alias("key"))
+    assert [r.key for r in rows.collect()] == ["a-b", "experiment", "experiment", "experiment", "x", "a--b", "experiment", "a", "a"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
 def test_names_and_loss(spark):
     got = spark.createDataFrame([(" my exp/1 ",), ("...",), (None,)], "n string").select(formats.experiment_key(F.col("n")).alias("k")).collect()
     assert [r.k for r in got] == ["my-exp-1", "experiment", "experiment"]

@@ -46,5 +46,6 @@ def prompt_text(header: Column, bars: Column) -> Column:
 
 def experiment_key(name: Column) -> Column:
     """M2: a name that is safe as a folder."""
-    key = F.regexp_replace(F.regexp_replace(F.trim(name), "[^A-Za-z0-9._-]+", "-"), "^[.-]+|[.-]+$", "")
-    return F.when(F.coalesce(key, F.lit("")) == "", "experiment").otherwise(key)
+    key = F.btrim(F.regexp_replace(F.trim(name), "[^A-Za-z0-9._-]+", "-"), F.lit(".-"))
+    # A function over one element, so that the key is worked out once.
+    return F.get(F.transform(F.array(key), lambda k: F.when(F.coalesce(k, F.lit("")) == "", "experiment").otherwise(k)), 0)
