@@ -792,3 +792,17 @@ def test_images_many_copies(spark):
     rows += [(i, images.pgm(textured(rng, 96, 96))) for i in range(100, 110)] + rows[:5]
     found = images.groups(spark.createDataFrame(rows, "media_id long, image binary").withColumn("cid", F.lit(1)).withColumn("key", F.lit(2))).collect()
     assert len(found) == 55 and all(r.group_id == (0 if r.media_id < 100 else r.media_id) for r in found)
+
+
+def test_encoder_memory_is_bounded(monkeypatch):
+    """Pieces that occur once leave the memo again, and a frequent one enters it however many came before."""
+    from versejobs.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"k{20 * i + j}x" for j in range(20)) + (" later" if i > 10 else "") for i in range(40)]
+    got = [coder.encode([t])[0] for t in texts]
+    assert got == coder.whole(texts)
+    assert len(coder.memo) + len(coder.old) <= 2 * (50 + 21)
+    assert "later" in coder.memo or "later" in coder.old
+    assert "k0x" not in coder.memo and "k0x" not in coder.old

@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Most pieces that one Python worker remembers.
-MEMO = 1_000_000
+#: Pieces from which on what one Python worker remembers counts as old, and goes when as many new ones have come.
+MEMO = 200_000
 #: Pieces encoded with one call.
 JOINED = 256
 #: Bytes of text whose pieces are told apart at once.
@@ -36,7 +36,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {"": b""}
         probes = ["ab cd", " ab", "ab ", "a\nb", "a  b", "it's don 't", "1 2,3 .", "x \n y", "Ab Cd", f"a, {BAR} b", f"9 {BAR} !"]
         self.apart = all(self.whole([p])[0] == b"".join(self.whole(p.replace("\n", " ").split(" "))) for p in probes)
         bar = self.whole([BAR])[0]
@@ -86,9 +87,12 @@ class Encoder:
         known = list(map(self.memo.get, words))
         lacking = [w for w, x in zip(words, known, strict=True) if x is None]
         if lacking:
-            new = self._pieces(lacking)
-            if len(self.memo) < MEMO:
-                self.memo |= new
+            # Pieces that recur come back from the old ones; most, such as keys and numbers, occur once and go with these.
+            new = {w: x for w in lacking if (x := self.old.get(w)) is not None}
+            new |= self._pieces([w for w in lacking if w not in new])
+            self.memo |= new
+            if len(self.memo) >= MEMO:
+                self.old, self.memo = self.memo, {}
             known = [new[w] if x is None else x for w, x in zip(words, known, strict=True)]
         table, wide = np.frombuffer(b"".join(known), self.type), self.type.itemsize
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // wide
