@@ -1,6 +1,8 @@
 """The operators for training data against brute force, and their defined results for odd input."""
 
+import collections
 import hashlib
+import itertools
 import pickle
 import re
 import zlib
@@ -784,6 +786,62 @@ def test_images_small_map(spark):
     assert got == want == {i: i // 10 * 10 for i in got}
 
 
+def corners_of_classes(rng):
+    """60 classes of 33 corners: some alike up to each level of their keys, and marks with their neighbours in many classes, plain ones among these."""
+    pool = rng.integers(0, 256, (12, 16), dtype=np.uint8)
+    marks = rng.integers(0, 256, (4, 16), dtype=np.uint8)
+    rows = []
+    for c in range(60):
+        bits = rng.integers(0, 256, (33, 16), dtype=np.uint8)
+        for k in range(8, 22):
+            bits[k] = pool[rng.integers(0, 12)]
+            if k % 2:  # alike in some tables alone
+                bits[k, rng.integers(0, 16)] ^= 1 << rng.integers(0, 8)
+        at = np.stack([np.arange(33) * 3, np.full(33, c), rng.choice([1, 2**0.5, 2], 33), rng.choice([-3, 0.1, 2], 33)], axis=1)
+        beside = rng.integers(8, 33, (33, 3))
+        n = 4 if c % 4 == 3 else 3 if c % 2 else 0  # 4 of 33 make a class plain
+        bits[:n], at[:n, 2:], beside[:n] = marks[:n], [1, 0.1], np.array([(1, 2, 0), (2, 0, 0), (0, 1, 0), (1, 2, 0)])[:n]
+        beside[6] = -1
+        rows.append((100 - c, len(bits), at.astype("<f4").tobytes(), bits.tobytes(), beside.astype("<i4").tobytes(), 32))
+    return rows
+
+
+@pytest.mark.parametrize(("map_bits", "heavy", "together"), [(1 << 20, 256, 512), (1 << 6, 0, 3)])
+def test_images_pairs_of_crowded_keys(spark, monkeypatch, map_bits, heavy, together):
+    """Every two classes of a key count, also of a longest one that more than CROWD corners have; two plain ones go to the packs instead."""
+    rows = corners_of_classes(np.random.default_rng(21))
+    entries, levels = [], set()
+    for cid, _, at, bits, beside, _ in rows:
+        at, bits, beside = np.frombuffer(at, "<f4").reshape(-1, 4), np.frombuffer(bits, np.uint8).reshape(-1, 16), np.frombuffer(beside, "<i4").reshape(-1, 3)
+        on = beside[:, 0] >= 0
+        for k, keys in zip(np.flatnonzero(on), images.table_keys(bits[on], bits[beside[on]]), strict=True):
+            entries += [(cid, k, t, tuple(map(int, keys[t])), round(2 * np.log2(at[k, 2])), int(at[k, 3] / (2 * np.pi) % 1 * 256)) for t in range(images.TABLES)]
+    times = collections.Counter((t, level, e[level]) for _, _, t, e, _, _ in entries for level in range(images.LEVELS))
+    met = collections.defaultdict(list)
+    lost = collections.Counter()
+    for cid, k, t, e, size, turn in entries:
+        level = next((x for x in range(images.LEVELS) if times[t, x, e[x]] <= images.CROWD), None)
+        levels.add(level)
+        lost[cid] += level is None
+        met[t, level, e[-1 if level is None else level]].append((cid, k, size, turn))
+    plain = {c for c, n in lost.items() if n >= images.PLAIN * 32 * images.TABLES}
+    votes = collections.defaultdict(set)
+    for (_, level, _), some in met.items():
+        for one, two in itertools.combinations(sorted(some), 2):
+            if one[0] != two[0] and not (level is None and {one[0], two[0]} <= plain and one[0] != min(some)[0]):
+                votes[one[0], two[0], (two[3] - one[3] + 128 // images.TURNS) % 256 * images.TURNS // 256, two[2] - one[2]].add(one[1])
+    want = {(a, b) for (a, b, *_), at in votes.items() if len(at) > 1}
+    assert levels >= {0, 1, 2, 3, None}
+    monkeypatch.setattr(images, "TOGETHER", together)
+    points = spark.createDataFrame(rows, "cid long, n int, at binary, bits binary, strong binary, entered int")
+    pairs, flat = images.candidates(points, *images.counted(points, map_bits, heavy))
+    assert {r.cid for r in flat.collect()} == plain and len(plain) == 15
+    got = {(r.a, r.b) for r in pairs.collect()}
+    odd = {100 - c for c in range(60) if c % 2}
+    assert all((a, b) in got for a, b in itertools.combinations(sorted(odd), 2) if not {a, b} <= plain)
+    assert got == want
+
+
 def test_images_many_copies(spark):
     """A large group of edited copies, repeated rows among them."""
     rng = np.random.default_rng(15)
