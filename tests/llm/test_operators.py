@@ -842,6 +842,16 @@ def test_images_pairs_of_crowded_keys(spark, monkeypatch, map_bits, heavy, toget
     assert got == want
 
 
+def test_images_side_by_side(spark):
+    """Images of one size are described as each alone, and all of them at once; unreadable ones stay where they are."""
+    rng = np.random.default_rng(22)
+    some = [images.pgm(textured(rng, *size)) for size in [(64, 64), (70, 90)] * 4 + [(9, 200)]] + [b"", None]
+    assert images.all_described(some) == [images.described(x) for x in some]
+    assert [x[0] > 0 for x in images.all_described(some)] == [True] * 8 + [False] * 3
+    one, two = images.described(some[0])[1:3], images.described(images.pgm(0.8 * images.pixels_of(some[0])[3:] + 9))[1:3]
+    assert images.AGREE <= images.consensus(*one, *two) <= len(one[1]) // 16
+
+
 def test_images_many_copies(spark):
     """A large group of edited copies, repeated rows among them."""
     rng = np.random.default_rng(15)
