@@ -98,6 +98,31 @@ def test_jaccard_map_is_small_for_a_small_table(docs):
     assert len(opened) == jaccard.MAP_BITS // 8 and 0 < np.count_nonzero(opened) < 10_000
 
 
+def test_jaccard_members_are_kept_once(docs, monkeypatch):
+    """The shingles of a set are written to one place, once, without those that no other set has."""
+    kept, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    jaccard.join(docs)
+    (sets,) = [x for x in kept if "members" in x.columns]
+    rows = sets.collect()
+    assert 0 < len(rows) == len({bytes(r["key"]) for r in rows})
+    assert all(len(r.members) <= 8 * r.n for r in rows) and any(len(r.members) < 8 * r.n for r in rows)
+
+
+def test_jaccard_parts_ask_themselves(spark):
+    """A part's members are held against each other without being sent to it again, whether or not others ask it."""
+    words = [np.sort(np.random.default_rng(k).integers(0, 1 << 63, 100, dtype=np.uint64)) for k in range(3)]
+    near = [np.sort(np.concatenate([w[:95], x])) for w, x in zip(words, [np.arange(5, dtype=np.uint64)] * 3, strict=True)]
+    keys = [bytes([k]) for k in range(6)]
+    sets = spark.createDataFrame([(k, 100, s.tobytes()) for k, s in zip(keys, words + near, strict=True)], "key binary, n long, members binary")
+    part = "struct<g:binary,pure:boolean,sub:int>"
+    rows = [((b"x", False, 0), 0, own, k, k) for own, k in [(True, keys[0]), (True, keys[3]), (True, keys[1])]] + [((b"y", False, 0), 0, False, k, k) for k in (keys[2], keys[5])]
+    groups = spark.createDataFrame(rows, f"part {part}, salt int, own boolean, key binary, root binary")
+    queries = spark.createDataFrame([((b"x", False, 0), 0, keys[4], keys[4])], f"part {part}, salt int, key binary, root binary")
+    got = [{tuple(sorted((bytes(r.a), bytes(r.b)))) for r in jaccard.opened(groups, x, sets).collect()} for x in (queries, queries.limit(0))]
+    assert got == [{(keys[0], keys[3]), (keys[1], keys[4])}, {(keys[0], keys[3])}]
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
