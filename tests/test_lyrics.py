@@ -166,6 +166,23 @@ def test_lexicon_by_rows_and_by_join(spark):
     assert {r.song_id: r.density for r in songs.density_by_words(song, lexicon).collect()} == by_row
 
 
+@pytest.mark.parametrize("most", [0, 3, 20_000])
+def test_line_codes_with_frequent_words_in_rows(spark, monkeypatch, most):
+    """Codes of whole lines, whatever part of the tokens is joined; lines alike in their keys alone stay apart, null keys and lines stay."""
+    monkeypatch.setattr(phonetics, "SMALL_WORDS", most)
+    given = ["table love the love table", "", None, "가나 hands 다 unknown", "the the", "love", "bread love " * 60, "table love the love table"]
+    lines = spark.createDataFrame([(k if k != 4 else None, 0, x) for k, x in enumerate(given)] + [(0, 0, "hands why"), (3, 1, "why 나 why")], "song_id long, line_no int, line string")
+    lexicon = spark.createDataFrame([("table", "T EY1 B AH0 L"), ("hands", "HH AE1 N D Z"), ("love", "L V"), ("Why", "W AY1")], "word string, phones string")
+    words = phonetics.resolve_words(lines.select(F.explode(text.tokens(F.col("line"))).alias("token")), lexicon)
+    codes = {r.token: list(r.codes) for r in words.collect()}
+    want = [(r.song_id, r.line_no, [c for t in re.findall(text.TOKEN, r.line or "") for c in codes[t]]) for r in lines.collect()]
+    counts = lines.select(F.explode(text.tokens(F.col("line"))).alias("token")).groupBy("token").count()
+    for given_counts in (None, counts):
+        got = phonetics.line_codes_by_words(lines, words, ["song_id", "line_no"], counts=given_counts)
+        assert sorted([tuple(r) for r in got.collect()], key=str) == sorted(want, key=str)
+    assert dict(got.dtypes)["codes"] == "array<int>"
+
+
 def test_lexicon_size_decides(spark, monkeypatch):
     song, lexicon = words_of(spark)
     small = songs.density_by_words(song, lexicon)

@@ -14,6 +14,8 @@ from .text import tokens
 CODES = "array<int>"
 #: Words at a line's end that are looked at first: inside the row, and by join; how many times as many there the next time.
 NEAR, NEAR_JOINED, MORE_JOINED = 6, 4, 16
+#: Stands for the codes of a token that isn't resolved yet.
+GAP = -1
 #: Most bytes, by the plan's statistics, and most words of a lexicon that goes into rows as a whole.
 SMALL_BYTES, SMALL_WORDS = 4 << 20, 20_000
 
@@ -172,18 +174,24 @@ def in_rows(lexicon: DataFrame, most_bytes: int = SMALL_BYTES, most_words: int =
     """A lookup of lower-case words in a lexicon small enough to be a constant of the plan, or None for any other.
 
     The plan's statistics are asked first, so a large lexicon is never read for that; then the words are counted as they come.
-    The constant is an array of buckets by the words' hash, so a lookup compares about one word, whatever the size.
     """
     if int(str(lexicon._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most_bytes:
         return None
-    n = lexicon.limit(most_words + 1).count()
-    if n > most_words:
+    if lexicon.limit(most_words + 1).count() > most_words:
         return None
-    buckets = max(1, n)
-    rows = lexicon_codes(lexicon).select(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("b"), "word", "known").collect()  # most_words at most
+    return constant_lookup(lexicon_codes(lexicon))
+
+
+def constant_lookup(words: DataFrame) -> Callable[[Column], Column]:
+    """A lookup in words (word, known), few enough to be a constant of the plan.
+
+    The constant is an array of buckets by the words' hash, so a lookup compares about one word, whatever the size.
+    """
+    rows = words.select(F.xxhash64("word").alias("h"), "word", "known").collect()  # SMALL_WORDS at most, or as many as the caller allows
+    buckets = max(1, len(rows))
     held: list = [[] for _ in range(buckets)]
     for r in rows:
-        held[r.b].append({"w": r.word, "c": list(r.known)})
+        held[r.h % buckets].append({"w": r.word, "c": list(r.known)})
     table = F.from_json(F.lit(json.dumps(held)), f"array<array<struct<w:string,c:{CODES}>>>")
 
     def known(low: Column) -> Column:
@@ -298,10 +306,33 @@ def line_tails_by_words(lines: DataFrame, keys: list[str], lexicon: DataFrame |
         size *= MORE_JOINED
 
 
-def line_codes_by_words(lines: DataFrame, word_codes: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """P11 by join: keys and codes of each line, from resolved words. Tokens are exchanged, lines aren't."""
-    parts = lines.select(*keys, F.posexplode_outer(tokens(F.col(line))).alias("_pos", "token"))
-    parts = parts.withColumn("token", F.coalesce("token", F.concat(F.lit("\n"), F.xxhash64(*keys).cast("string"))))  # no token is like that
+def line_codes_by_words(lines: DataFrame, word_codes: DataFrame, keys: list[str], line: str = "line", counts: DataFrame | None = None) -> DataFrame:
+    """P11 by join: keys and codes of each line, from resolved words (token, codes); counts: how often each token occurs (token, count), if known.
+
+    Codes of the SMALL_WORDS most frequent tokens go into the rows, so only rarer tokens are joined. A line is exchanged once, as
+    its codes, in which a GAP stands for each token that is left.
+    """
+    if counts is None:
+        counts = lines.select(F.explode(tokens(F.col(line))).alias("token")).groupBy("token").count()
+    often = counts.orderBy(F.desc("count"), "token").limit(SMALL_WORDS).select(F.col("token").alias("word"))
     words = word_codes.select(F.col("token").alias("_token"), F.col("codes").alias("_codes"))
-    each = parts.join(words, F.col("token") == F.col("_token"), "left").select(*keys, F.struct("_pos", F.coalesce("_codes", none()).alias("c")).alias("_x"))
-    return each.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["c"])).alias("codes"))
+    known = constant_lookup(often.join(words, F.col("word") == F.col("_token"), "left").select("word", F.coalesce("_codes", none()).alias("known")))
+    # Lines that are alike in their keys alone stay apart.
+    by, small = [*keys, "_line"], "array<smallint>"
+    each = F.transform(tokens(F.col(line)), lambda t, i: F.struct(i.alias("pos"), t.alias("token"), known(t).alias("c")))
+    rows = lines.select(*keys, F.hash(line).alias("_line"), each.alias("_each"))
+    flat = F.flatten(F.transform("_each", lambda x: F.coalesce(x["c"], F.array(F.lit(GAP)))))
+    whole = rows.select(*by, F.coalesce(flat, none()).cast(small).alias("_flat"), F.lit(None).cast(CODES).alias("_x"))
+    left = rows.select(*by, F.explode(F.filter("_each", lambda x: x["c"].isNull())).alias("x")).select(*by, "x.pos", "x.token")
+    # A token's place in front of its codes.
+    found = left.join(words, F.col("token") == F.col("_token"), "left").select(*by, F.lit(None).cast(small).alias("_flat"), F.concat(F.array("pos"), F.coalesce("_codes", none())).alias("_x"))
+    got = whole.unionByName(found).groupBy(*by).agg(F.first("_flat", ignorenulls=True).cast(CODES).alias("_flat"), F.array_sort(F.collect_set("_x")).alias("_x"))
+    got = got.withColumn("_found", F.transform("_x", lambda x: F.slice(x, 2, F.size(x))))
+    got = got.withColumn("_ends", F.concat(F.array_compact(F.transform("_flat", lambda c, i: F.when(c == GAP, i))), F.array(F.size("_flat"))))
+
+    def piece(end: Column, k: Column) -> Column:
+        """The codes before the k-th gap, and what belongs into it."""
+        start = F.when(k == 0, F.lit(0)).otherwise(F.get("_ends", k - 1) + 1)
+        return F.concat(F.slice("_flat", start + 1, end - start), F.coalesce(F.get("_found", k), none()))
+
+    return got.select(*keys, F.flatten(F.transform("_ends", piece)).alias("codes"))

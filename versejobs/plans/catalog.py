@@ -155,8 +155,9 @@ def word_codes(spark, sf_dir):
 def line_codes_lexicon(spark, sf_dir):
     """P9, P11 with a lexicon, by join"""
     lines = songs.songs_lines(views.songs(spark, sf_dir))
-    words = phonetics.resolve_words(lines.select(F.explode(text.tokens(F.col("line"))).alias("token")), views.dictionary(spark, sf_dir))
-    return phonetics.line_codes_by_words(lines, words, ["song_id", "line_no"]).select("song_id", "line_no", "codes")
+    counts = kept(lines.select(F.explode(text.tokens(F.col("line"))).alias("token")).groupBy("token").count())
+    words = kept(phonetics.resolve_words(counts, views.dictionary(spark, sf_dir)))
+    return phonetics.line_codes_by_words(lines, words, ["song_id", "line_no"], counts=counts).select("song_id", "line_no", "codes")
 
 
 @registered(f"WITH {O.SONGS_SQL}, {O.LINES_SQL}, {O.coded('lines', 'song_id, line_no')} SELECT song_id, line_no::INT AS line_no, tail FROM tails")
